@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import encode_corpus
+from .canonical import canonical_predicates
 from .components import corroborated_groups
 from .lookalikes import look_alike_pairs, one_form
+from .names import same_name_pairs
 from .packing import pack_documents
 from .splitting import oversized_items, split_oversized
 
@@ -28,10 +30,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return documents.unionByName(chunks.dropDuplicates(["item_id", "piece_no"])).withColumn("heading_path", F.concat_ws(" > ", "heading_path"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_predicates(table(spark, d, "facts"), table(spark, d, "predicate_registry"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return corroborated_groups(table(spark, d, "relations"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_name_pairs(table(spark, d, "facts"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -49,7 +59,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form(table(spark, d, "documents"), keep_text=False).select("doc_id", F.hex("form_hash").alias("form_class"), "visible")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p8_ids, p9_containers, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p7_found, p8_ids, p9_containers, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": """
