@@ -14,6 +14,8 @@ from .names import same_name_pairs
 from .packing import pack_documents
 from .splitting import oversized_items, split_oversized
 
+from .vector_graph import close_pairs, similar_facts
+
 
 def _pieces(spark: SparkSession, d: str) -> list[DataFrame]:
     documents = split_oversized(table(spark, d, "documents"), id_col="doc_id", kind="document")
@@ -38,6 +40,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return corroborated_groups(table(spark, d, "relations"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return close_pairs(table(spark, d, "facts"))
+
+
+def p5_similar(spark: SparkSession, d: str) -> DataFrame:
+    return similar_facts(table(spark, d, "facts"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return same_name_pairs(table(spark, d, "facts"))
 
@@ -59,7 +69,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form(table(spark, d, "documents"), keep_text=False).select("doc_id", F.hex("form_hash").alias("form_class"), "visible")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p7_found, p8_ids, p9_containers, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p5_found, p5_similar, p7_found, p8_ids, p9_containers, p10_found, p10_forms)}
 
 SQL = {
     "p1_found": """
