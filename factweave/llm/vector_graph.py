@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..session import cut, ship
 
 SHARD_ROWS, MAX_PIVOTS, SAMPLE_ROWS = 6_000, 2_048, 20_000
-DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 12, 20, 4, 1.15, 192
+DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 16, 16, 4, 1.1, 192
 #: Vectors also go to shards whose pivot is that much less similar than their nearest one, so that close pairs share a shard.
-MARGIN = 0.06
+MARGIN = 0.04
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, width: int = WIDTH, floor: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +34,13 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.nda
     seen = np.zeros((b, n), dtype=bool)
     rows = np.arange(b)
     e = entries.shape[1]
+    beam = max(beam, e)
     ids = np.full((b, beam), -1, dtype=np.int64)
     sims = np.full((b, beam), -2.0, dtype=np.float32)
     done = np.ones((b, beam), dtype=bool)
     s = np.matmul(x[entries], q[:, :, None])[..., 0]
-    order = np.argsort(-s, axis=1)
-    ids[:, :e], sims[:, :e], done[:, :e] = np.take_along_axis(entries, order, 1), np.take_along_axis(s, order, 1), False
+    ids[:, :e], sims[:, :e] = _by_similarity(entries, s, e)
+    done[:, :e] = ids[:, :e] < 0
     seen[rows[:, None], entries] = True
     step = 0
     while True:
@@ -185,11 +186,12 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _pivots(rows: DataFrame, n: int, shard_rows: int) -> np.ndarray:
-    """Centres of about n / shard_rows shards, fitted on at most about SAMPLE_ROWS vectors that a hash of the id picks."""
+def _pivots(rows: DataFrame, n: int, shard_rows: int) -> tuple[np.ndarray, list[int]]:
+    """Centres of about n / shard_rows shards, fitted on a bounded sample that a hash of the id picks, and the graphs that each
+    shard needs by its share of the sample."""
     k = max(1, min(MAX_PIVOTS, math.ceil(n / shard_rows)))
     if k == 1:
-        return np.zeros((1, 1))
+        return np.zeros((1, 1)), [max(1, math.ceil(n / (2 * shard_rows)))]
     every = max(1, n // min(SAMPLE_ROWS, 100 * k))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vector").limit(2 * SAMPLE_ROWS)
     x = unit_rows(sample.toArrow().column("vector"))
@@ -201,7 +203,8 @@ def _pivots(rows: DataFrame, n: int, shard_rows: int) -> np.ndarray:
         np.add.at(s, own, x)
         norm = np.linalg.norm(s, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, s / np.maximum(norm, 1e-9), c)
-    return c
+    share = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) / len(x) * n
+    return c, [math.ceil(m / shard_rows) if m > 2 * shard_rows else 1 for m in share]
 
 
 def _assigned(pivots: dict[tuple[str, int], np.ndarray], margin: float, spread: bool):
@@ -249,8 +252,8 @@ def _searched(k: int, degree: int, beam: int, at_least: float | None):
         for i in range(0, len(queries) if len(nodes) else 0, 768):
             rows = queries[i : i + 768]
             start = starts(x, entries, exact[rows].astype(np.float32))
-            if (node_of[rows] >= 0).all():
-                start = node_of[rows][:, None]
+            if (node_of[rows] >= 0).all():  # from the row's own node too, where it has one
+                start = np.concatenate([node_of[rows][:, None], start], axis=1)
             most = max(beam, 3 * k)
             ids, sims = beam_search(x, graph, exact[rows].astype(np.float32), start, min(most, max(1, len(nodes))), floor=None if at_least is None else min(0.9, at_least - 0.05))
             ok = (ids >= 0) & (ids != node_of[rows][:, None])
@@ -304,12 +307,11 @@ def nearest(
     )
     kind = rows.schema["id"].dataType.simpleString()
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    pivots = {p: _pivots(rows.where(F.col("part") == p), n, shard_rows) for p, n in counts.items()}
-    placed = rows.mapInArrow(_assigned(pivots, margin, spread), f"part string, shard int, id {kind}, vector array<float>, own boolean, asked boolean")
-    sizes = placed.where("own").groupBy("part", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
-    cuts = {(r["part"], r["shard"]): math.ceil(r["n"] / shard_rows) for r in sizes.collect()} if len(counts) else {}
+    fitted = {p: _pivots(rows.where(F.col("part") == p), n, shard_rows) for p, n in counts.items()}
+    placed = rows.mapInArrow(_assigned({p: c for p, (c, _) in fitted.items()}, margin, spread), f"part string, shard int, id {kind}, vector array<float>, own boolean, asked boolean")
+    cuts = [(p, i, c) for p, (_, graphs) in fitted.items() for i, c in enumerate(graphs) if c > 1]
     if cuts:
-        listed = spark.createDataFrame([(p, s, c) for (p, s), c in cuts.items()], "part string, shard int, cuts int")
+        listed = spark.createDataFrame(cuts, "part string, shard int, cuts int")
         several = placed.join(F.broadcast(listed), ["part", "shard"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
         mine = F.pmod(F.xxhash64("id"), F.col("cuts").cast("long"))
         placed = several.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("own", F.col("own") & (F.col("cut") == mine)).drop("cuts")
