@@ -1,8 +1,8 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, and the SQL that they are checked against."""
 
 from __future__ import annotations
 
-from . import data
+from . import core, core_sql, data
 
-QUERIES = data.QUERIES
-SQL = data.SQL
+QUERIES = core.QUERIES | data.QUERIES
+SQL = core_sql.SQL | data.SQL
