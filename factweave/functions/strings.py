@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
+
 # Words that name no entity, leading words of a name, trailing legal forms, qualifier key vocabularies, measure modifiers.
 ANAPHORS = ("company", "group", "issuer", "firm", "entity", "corporation", "organisation", "organization")
 ARTICLES = ("the", "a", "an")
@@ -54,9 +56,14 @@ def split_consolidation(predicate: Column) -> Column:
 
 def surface_identities(surface: Column) -> Column:
     """Every name that a surface answers to: itself, and itself without one trailing legal form, if something is left."""
-    name = normalize_surface(surface)
-    stripped = [F.when(F.length(name) > len(form) + 1, F.when(F.endswith(name, F.lit(" " + form)), F.substring(name, F.lit(1), F.length(name) - len(form) - 1))) for form in LEGAL_FORMS]
-    return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(name, *stripped)))))
+
+    def of(name: Column) -> Column:
+        rest = F.array(*[F.lit(" " + form) for form in LEGAL_FORMS])
+        ends = F.filter(rest, lambda form: F.endswith(name, form) & (F.length(name) > F.length(form)))
+        stripped = F.transform(ends, lambda form: F.substring(name, F.lit(1), F.length(name) - F.length(form)))
+        return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(name), stripped))))
+
+    return let(normalize_surface(surface), of)
 
 
 def subject_identities(surface: Column, key: Column) -> Column:
@@ -72,8 +79,11 @@ def same_entity(left: Column, right: Column) -> Column:
 
 def subjects_match(surface_a: Column, key_a: Column, surface_b: Column, key_b: Column) -> Column:
     """Two hard keys decide alone; else two non-empty names must be the same entity."""
-    ka, kb = F.nullif(key_a, F.lit("")), F.nullif(key_b, F.lit(""))
-    a, b = normalize_surface(surface_a), normalize_surface(surface_b)
+    return names_match(normalize_surface(surface_a), F.nullif(key_a, F.lit("")), normalize_surface(surface_b), F.nullif(key_b, F.lit("")))
+
+
+def names_match(a: Column, ka: Column, b: Column, kb: Column) -> Column:
+    """subjects_match over normalized names, and keys that are null where they are blank."""
     return F.when(ka.isNotNull() & kb.isNotNull(), ka == kb).otherwise((a != "") & (b != "") & same_entity(a, b))
 
 

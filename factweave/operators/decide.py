@@ -16,7 +16,16 @@ from ..functions.lets import let
 from . import partition as parts
 
 VERDICTS = ("corroborates", "contradicts", "reconciled_by_context", "unrelated", "insufficient_context")
-_FACT = ("fact_id", "doc_id", "subject_surface", "subject_key", "subject_id", "measure", "value_kind", "value_raw", "quantity", "qualifiers")
+#: What a pair needs of each fact; the last row is computed once per fact, not per pair.
+_FACT = ("fact_id", "doc_id", "subject_surface", "subject_key", "subject_id", "measure", "value_kind", "value_raw", "quantity", "qualifiers", "name", "hard_key", "words", "day", "digits")
+
+
+def prepared(facts: DataFrame) -> DataFrame:
+    raw = F.col("value_raw")
+    return facts.withColumns({
+        "name": S.normalize_surface(F.col("subject_surface")), "hard_key": F.nullif(F.col("subject_key"), F.lit("")), "words": F.when(F.col("value_kind") != "quantity", S.plain_words(raw)),
+        "day": F.when(F.col("value_kind") != "quantity", P.bare_date(raw)), "digits": N.written_digits(F.col("quantity.raw")),
+    })
 
 
 def compare_values(a: Column, b: Column) -> Column:
@@ -25,10 +34,7 @@ def compare_values(a: Column, b: Column) -> Column:
     units_differ = F.coalesce(qa["unit"] != qb["unit"], F.lit(False))
     both = (a["value_kind"] == "quantity") & (b["value_kind"] == "quantity")
     figures = F.when(qa.isNull() | qb.isNull() | (qa["is_percent"] != qb["is_percent"]) | units_differ, "incomparable").when(N.intervals_overlap(qa, qb), "agree").otherwise("disagree")
-    texts = let(
-        F.struct(P.bare_date(a["value_raw"]).alias("x"), P.bare_date(b["value_raw"]).alias("y")),
-        lambda d: F.when(F.coalesce(d["x"] == d["y"], S.plain_words(a["value_raw"]) == S.plain_words(b["value_raw"])), "agree").otherwise("disagree"),
-    )
+    texts = F.when(F.coalesce(a["day"] == b["day"], a["words"] == b["words"], F.lit(False)), "agree").otherwise("disagree")
     return F.when(both, figures).when(a["value_kind"].eqNullSafe(b["value_kind"]), texts).otherwise("incomparable")
 
 
@@ -60,7 +66,7 @@ def compare_contexts(a: Column, b: Column) -> Column:
     def paired(t: Column) -> Column:
         crossed = (F.size(t["ta"]) == 1) & (F.size(t["tb"]) == 1)
         cross = F.when(crossed, F.transform(F.arrays_zip(t["ta"], t["tb"]), lambda z: F.struct(z["ta"].alias("x"), z["tb"].alias("y"))))
-        spare = lambda side, of: F.transform(F.filter(of, lambda x: ~(crossed & (x["dim"] == "period"))), lambda x: F.struct((~S.key_matches(x["key"], S.DISCRIMINATING)).alias("plain"), x["dim"].alias("dim"), F.lit(side).alias("side"), x["key"].alias("key")))
+        spare = lambda side, of: F.transform(F.filter(of, lambda x: ~(crossed & (x["dim"] == "period"))), lambda x: F.struct((~x["known"]).alias("plain"), x["dim"].alias("dim"), F.lit(side).alias("side"), x["key"].alias("key")))
         return F.struct(
             F.concat(t["s"]["shared"], F.coalesce(cross, F.filter(t["s"]["shared"], lambda _: F.lit(False)))).alias("pairs"),
             F.array_sort(F.concat(spare(0, t["s"]["la"]), spare(1, t["s"]["lb"]))).alias("missing"),
@@ -69,7 +75,7 @@ def compare_contexts(a: Column, b: Column) -> Column:
     def judged(p: Column) -> Column:
         def row(z: Column) -> Column:
             x, y = z["x"], z["y"]
-            known = S.key_matches(x["key"], S.DISCRIMINATING) & S.key_matches(y["key"], S.DISCRIMINATING) & ~S.key_matches(x["key"], S.NON_SEPARATING)
+            known = x["known"] & y["known"] & x["separates"]
             unreadable, cross = _unreadable(x, y), x["key"] != y["key"]
             return F.struct(~known, x["dim"].alias("dim"), cross.alias("cross"), x["key"].alias("key"), (known & ~unreadable).alias("proven"), (~(unreadable & cross)).alias("established"), _same(x, y).alias("same"))
 
@@ -87,7 +93,7 @@ def compare_contexts(a: Column, b: Column) -> Column:
 def decision(a: Column, b: Column, partition_key: Column | None = None) -> Column:
     """struct(verdict, rule_fired, qualifier_key, needs_llm, missing_keys) of a pair; the first rule that holds."""
     partition_key = partition_key if partition_key is not None else F.lit(None).cast("string")
-    same_key = S.subjects_match(a["subject_surface"], a["subject_key"], b["subject_surface"], b["subject_key"]) & F.coalesce((a["measure"] == b["measure"]) & (a["measure"] != ""), F.lit(False))
+    same_key = S.names_match(a["name"], a["hard_key"], b["name"], b["hard_key"]) & F.coalesce((a["measure"] == b["measure"]) & (a["measure"] != ""), F.lit(False))
     seen = F.struct(F.coalesce(same_key, F.lit(False)).alias("same_key"), compare_values(a, b).alias("values"), compare_contexts(a["qualifiers"], b["qualifiers"]).alias("diff"), partition_key.alias("part"))
 
     def table(s: Column) -> Column:
@@ -102,7 +108,7 @@ def decision(a: Column, b: Column, partition_key: Column | None = None) -> Colum
             return F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule_fired"), qualifier.alias("qualifier_key"), F.lit(asks).alias("needs_llm"), keys.alias("missing_keys"))
 
         agree = s["values"] == "agree"
-        coarse = F.coalesce(N.rests_on_imprecision(a["quantity"], b["quantity"]), F.lit(False))
+        coarse = F.coalesce(N.rests_on_imprecision(a["quantity"], b["quantity"], a["digits"], b["digits"]), F.lit(False))
         return (
             F.when(~s["same_key"], row("unrelated", "comparison_key_differs"))
             .when(s["part"].isNotNull(), row("unrelated", "complementary_categories", s["part"]))
@@ -139,7 +145,7 @@ def explain(d: Column, a: Column, b: Column) -> Column:
 
 def relations(pairs: DataFrame, facts: DataFrame, with_partitions: bool = True, keep_unrelated: bool = True) -> DataFrame:
     """fact_a, fact_b, verdict, rule_fired, qualifier_key, needs_llm, missing_keys, cross_document, relation_id, explanation[, blocked_by] of candidate pairs."""
-    one = facts.select(F.struct(*_FACT).alias("f"))
+    one = prepared(facts).select(F.struct(*_FACT).alias("f"))
     side = lambda x: one.select(F.col("f.fact_id").alias(f"fact_{x}"), F.col("f").alias(x))
     rows = pairs.join(side("a"), "fact_a").join(side("b"), "fact_b")
     if with_partitions:

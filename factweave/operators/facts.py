@@ -9,13 +9,14 @@ from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import strings as S
 from ..functions.lets import let
+from ..session import spread
 
 VALUE = "raw string, kind string, unit string, scale string"
 BAG = "map<string,struct<value:string,provenance:string>>"
 EVIDENCE = "page int, char_start bigint, char_end bigint"
 
 #: One known condition of a fact, with what comparing it needs.
-QUALIFIER = "struct<key:string,dim:string,value:string,provenance:string,plain:string,start:date,end:date,day:date,years:array<int>>"
+QUALIFIER = "struct<key:string,dim:string,value:string,provenance:string,plain:string,start:date,end:date,day:date,years:array<int>,known:boolean,separates:boolean>"
 
 
 def qualifier(key: Column, value: Column, provenance: Column, fiscal_end_month: Column | None = None) -> Column:
@@ -24,7 +25,7 @@ def qualifier(key: Column, value: Column, provenance: Column, fiscal_end_month:
         F.struct(key.alias("key"), value.alias("value"), provenance.alias("provenance"), period.alias("p")),
         lambda q: F.struct(
             q["key"].alias("key"), S.dimension_of(q["key"]).alias("dim"), q["value"].alias("value"), q["provenance"].alias("provenance"), S.plain_words(q["value"]).alias("plain"), q["p"]["start"].alias("start"), q["p"]["end"].alias("end"),
-            P.bare_date(q["value"]).alias("day"), P.mentioned_years(q["value"]).alias("years"),
+            P.bare_date(q["value"]).alias("day"), P.mentioned_years(q["value"]).alias("years"), S.key_matches(q["key"], S.DISCRIMINATING).alias("known"), (~S.key_matches(q["key"], S.NON_SEPARATING)).alias("separates"),
         ),
     )
 
@@ -66,7 +67,7 @@ def comparable(facts: DataFrame) -> DataFrame:
 
     The measure is predicate_canonical, or the predicate made canonical; a leading consolidated or standalone becomes a condition.
     """
-    rows = once(facts.select("fact_id", "doc_id", "claim_text", "subject_surface", "subject_key", "predicate", "predicate_canonical", "value_json", "value_kind", "qualifiers_json", "evidence_json", "align_status", "created_at"))
+    rows = once(spread(facts.select("fact_id", "doc_id", "claim_text", "subject_surface", "subject_key", "predicate", "predicate_canonical", "value_json", "value_kind", "qualifiers_json", "evidence_json", "align_status", "created_at"), "fact_id"))
     read = rows.withColumns({"value": F.from_json("value_json", VALUE), "evidence": F.from_json("evidence_json", EVIDENCE), "_m": S.split_consolidation(F.coalesce("predicate_canonical", "predicate"))})
     bag = F.from_json("qualifiers_json", BAG)
     basis = F.when(F.col("_m.basis").isNotNull(), F.map_from_arrays(F.array(F.lit("consolidation")), F.array(F.col("_m.basis"))))

@@ -10,7 +10,7 @@ from ..functions import periods as P
 from ..functions import strings as S
 from ..operators import adjudicate, align, blocking, decide, partition, registry, textstruct
 from ..operators import facts as FA
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..sources import ledger
 
 BAG = FA.BAG
@@ -124,7 +124,7 @@ def blocking_statistics(s: SparkSession, d: str) -> DataFrame:
 
 def _orders(s: SparkSession, d: str) -> DataFrame:
     """Orders as facts: the customer's total of a year under a segment that some orders don't state."""
-    t = table(s, d, "orders")
+    t = spread(table(s, d, "orders"), "o_custkey")  # the customers' orders meet below
     figure = F.round("o_totalprice").cast("long").cast("string")
     bag = F.map_filter(F.map_from_arrays(F.array(F.lit("period"), F.lit("segment")), F.array(F.concat(F.lit("CY"), F.year("o_orderdate").cast("string")), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))), lambda _, v: v.isNotNull())
     whole = F.transform_values(bag, lambda _, v: F.struct(v.alias("value"), F.lit("stated").alias("provenance")))

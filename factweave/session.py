@@ -47,3 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitioned by the columns for work that is heavy per row: as many partitions as a shuffle has, or as there are cores, and
+    not coalesced by their size. A following aggregation or join on the columns needs no other exchange."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
