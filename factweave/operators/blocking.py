@@ -53,13 +53,16 @@ def similarity(a: str, b: str):
     return F.when(norm > 0, dot(x, y) / norm).otherwise(F.lit(0.0))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = NEIGHBOURS, least: float = 0.0) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = NEIGHBOURS, least: float = 0.0, block: int = 5_000) -> DataFrame:
     """(query, neighbour, similarity, rank): exact nearest neighbours of a stated query set against all vectors, itself left out; ties by id.
 
-    Each query meets every vector once, in the tasks that hold the vectors; for every vector as a query use the graph index instead.
+    Queries come in hashed blocks of about `block`, and an equi-join on the block meets each with every vector once. For every vector as
+    a query use a graph index instead.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"))
-    met = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("_v")).join(q, F.col("neighbour") != F.col("query"))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
+    all_ = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    met = all_.join(q, "_block").where(F.col("neighbour") != F.col("query"))
     scored = met.withColumn("similarity", similarity("_q", "_v")).where(F.col("similarity") >= least)
     w = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
