@@ -34,6 +34,13 @@ def exact_key_pairs(facts: DataFrame, within: list[str] | None = None) -> DataFr
     return met.where("fact_a < fact_b").select("fact_a", "fact_b").distinct()
 
 
+def touching_key_pairs(facts: DataFrame, some: DataFrame) -> DataFrame:
+    """exact_key_pairs with at least one fact of `some` (rows of `facts`), without making the others."""
+    keyed = lambda f, x: f.where(F.col("measure").isNotNull() & (F.col("measure") != "")).select(F.col("fact_id").alias(x), "measure", F.explode(S.subject_identities(F.col("subject_surface"), F.col("subject_key"))).alias("identity"))
+    met = keyed(some, "x").join(keyed(facts, "y"), ["identity", "measure"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("fact_a"), F.greatest("x", "y").alias("fact_b")).distinct()
+
+
 def magnitude_pairs(facts: DataFrame, width: float = BAND_WIDTH, window: int = BAND_WINDOW) -> DataFrame:
     """(fact_a, fact_b): figures of one kind and sign at most `window` steps apart on the logarithmic scale.
 

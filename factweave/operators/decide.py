@@ -94,7 +94,13 @@ def decision(a: Column, b: Column, partition_key: Column | None = None) -> Colum
     """struct(verdict, rule_fired, qualifier_key, needs_llm, missing_keys) of a pair; the first rule that holds."""
     partition_key = partition_key if partition_key is not None else F.lit(None).cast("string")
     same_key = S.names_match(a["name"], a["hard_key"], b["name"], b["hard_key"]) & F.coalesce((a["measure"] == b["measure"]) & (a["measure"] != ""), F.lit(False))
-    seen = F.struct(F.coalesce(same_key, F.lit(False)).alias("same_key"), compare_values(a, b).alias("values"), compare_contexts(a["qualifiers"], b["qualifiers"]).alias("diff"), partition_key.alias("part"))
+    coarse = F.coalesce(N.rests_on_imprecision(a["quantity"], b["quantity"], a["digits"], b["digits"]), F.lit(False))
+    return first_rule(F.coalesce(same_key, F.lit(False)), partition_key, compare_values(a, b), compare_contexts(a["qualifiers"], b["qualifiers"]), coarse)
+
+
+def first_rule(same_key: Column, partition_key: Column, values: Column, diff: Column, coarse: Column) -> Column:
+    """decision of what was seen of a pair; coarse: whether values that agree only do so by imprecision."""
+    seen = F.struct(same_key.alias("same_key"), values.alias("values"), diff.alias("diff"), partition_key.alias("part"))
 
     def table(s: Column) -> Column:
         differing, missing = s["diff"]["differing"], s["diff"]["missing"]
@@ -108,7 +114,6 @@ def decision(a: Column, b: Column, partition_key: Column | None = None) -> Colum
             return F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule_fired"), qualifier.alias("qualifier_key"), F.lit(asks).alias("needs_llm"), keys.alias("missing_keys"))
 
         agree = s["values"] == "agree"
-        coarse = F.coalesce(N.rests_on_imprecision(a["quantity"], b["quantity"], a["digits"], b["digits"]), F.lit(False))
         return (
             F.when(~s["same_key"], row("unrelated", "comparison_key_differs"))
             .when(s["part"].isNotNull(), row("unrelated", "complementary_categories", s["part"]))

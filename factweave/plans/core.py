@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import strings as S
-from ..operators import adjudicate, align, blocking, decide, partition, registry, textstruct
+from ..operators import adjudicate, align, blocking, decide, partition, registry, tally, textstruct
 from ..operators import facts as FA
 from ..session import cut, spread, table
 from ..sources import ledger
@@ -145,12 +145,8 @@ def order_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def decide_histogram(s: SparkSession, d: str) -> DataFrame:
-    """Verdicts by rule over the facts table: pairs of one identity, measure and reporting period."""
-    facts = FA.comparable(ledger.loadable(table(s, d, "facts")))
-    at = F.get(F.filter("qualifiers", lambda q: q["dim"] == "period"), F.lit(0))
-    facts = cut(facts.withColumn("span", F.coalesce(F.concat_ws("/", at["start"], at["end"]), F.lit(""))))
-    pairs = blocking.exact_key_pairs(facts, ["span"])
-    return decide.histogram(decide.relations(pairs, facts))
+    """Verdicts by rule over the facts table: all pairs of one identity and measure."""
+    return tally.histogram(FA.comparable(ledger.loadable(table(s, d, "facts"))))
 
 
 def partition_groups(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import adjudicate, align, blocking, decide, eager, extract, partition, registry, textstruct, units
+from factweave.operators import adjudicate, align, blocking, decide, eager, extract, partition, registry, tally, textstruct, units
 from factweave.operators import facts as FA
 from factweave.sources import ledger
 from factweave.streaming import ingest
@@ -80,6 +80,21 @@ def test_blocking(spark):
     assert blocking.only_touching(both, facts.where("fact_id = 'f_deck'")).count() == 3
 
 
+def test_histogram_counts_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(tally, "CHUNK", 7)
+    from factweave.plans import core
+
+    rows = [fact(f"{k:02d}{x}", doc=k, **args) for k, (a, b, _) in enumerate(RULES) for x, args in (("a", a), ("b", b))] + MINI
+    rows += [fact(f"s{i}", f"{v}%", i, "share", period="FY24", region=c) for i, (c, v) in enumerate({"north": 63, "south": 15, "west": 22}.items())] + [fact("odd1", "7", 1, consolidation_period="FY23"), fact("odd2", "7", 1, as_at="March 31, 2024")]
+    rows += [fact("k1", "7", key="A"), fact("k2", "7", key="B"), fact("less", "less than 9", period="FY24"), fact("usd", "7", unit="USD"), fact("inr", "7", unit="INR"), fact("bool", "Yes", kind="boolean"), fact("none", None), fact("blank", "7", subject="")]
+    facts = FA.comparable(spark.createDataFrame(rows, COLUMNS))
+    whole = decide.histogram(decide.relations(blocking.exact_key_pairs(facts), facts))
+    want = {tuple(r) for r in whole.collect()}
+    assert {tuple(r) for r in tally.histogram(facts).collect()} == want and "complementary_categories" in {r[1] for r in want}
+    monkeypatch.setattr(core, "table", lambda s, d, name: spark.createDataFrame(rows, COLUMNS))
+    assert {tuple(r) for r in core.decide_histogram(spark, "").collect()} == want
+
+
 def test_eager_aggregation(spark):
     left = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0), (2, "a", None), (None, "b", 5.0), (3, None, 1.0)], "k int, g string, v double")
     right = spark.createDataFrame([(1, 10), (1, 20), (2, 7), (None, 99)], "k int, v int")
