@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import strings as S
+from ..session import ship
 
 BAND_WIDTH, BAND_WINDOW, NEIGHBOURS = 0.002, 1, 10
 
@@ -75,6 +79,78 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def nearest(ids: list[str], unit: np.ndarray, asked: np.ndarray, k: int, least: float = 0.0) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places of its k nearest) for each asked place; unit: vectors of length 1 in the order of their ids, which breaks ties."""
+    step = max(1, 8_000_000 // len(ids))
+    for at in range(0, len(asked), step):
+        block = asked[at : at + step]
+        sim = np.round(unit[block] @ unit.T, 9)
+        sim[np.arange(len(block)), block] = -2.0
+        bar = np.partition(sim, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        for r, place in enumerate(block):
+            near = np.flatnonzero(sim[r] >= max(bar[r], least))
+            yield int(place), near[np.argsort(-sim[r][near], kind="stable")][:k]
+
+
+def semantic_pairs(vectors: DataFrame, k: int = NEIGHBOURS, block: int = 50_000) -> DataFrame:
+    """(fact_a, fact_b): every fact of vectors (fact_id, embedding_model, embedding) with its k exact nearest ones of one model and width.
+
+    Both directions count once. Vectors without length and facts without vector pair with nothing. Queries come in hashed blocks, each of
+    which meets all vectors of its model: the work grows with the square of a model's facts.
+    """
+    ship(vectors.sparkSession)
+    v = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select("fact_id", "embedding", F.concat_ws("/", F.coalesce("embedding_model", F.lit("")), F.size("embedding")).alias("space"))
+    blocks = v.groupBy("space").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = v.join(F.broadcast(blocks), "space").select("space", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int").alias("own"), "fact_id", "embedding")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("fact_id")
+        ids = t["fact_id"].to_pylist()
+        flat = pa.concat_arrays([c.flatten() for c in t["embedding"].chunks])
+        x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        mine = np.flatnonzero(t["own"].to_numpy() == t["part"][0].as_py())
+        a, b = [], []
+        for i, near in nearest(ids, x, mine, k):
+            for j in near:
+                a.append(ids[min(i, j)])
+                b.append(ids[max(i, j)])
+        return pa.table({"fact_a": pa.array(a, pa.string()), "fact_b": pa.array(b, pa.string())})
+
+    return rows.groupBy("space", "part").applyInArrow(run, "fact_a string, fact_b string").distinct()
+
+
+def key_classes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """exact_key_pairs, folded: (fact_id, name_class) of every fact that has a key, and (class_a, class_b, n) of the classes that meet, each with itself too.
+
+    A class is the facts of one name, hard key and measure, called by its least fact_id; n is the number of their pairs.
+    """
+    name, hard = S.normalize_surface(F.col("subject_surface")), F.nullif("subject_key", F.lit(""))
+    one = facts.where(F.col("measure").isNotNull() & (F.col("measure") != "")).select("fact_id", "measure", name.alias("name"), hard.alias("hard")).where("name <> '' or hard is not null")
+    by = ["measure", "name", "hard"]
+    classes = one.groupBy(*by).agg(F.min("fact_id").alias("name_class"), F.count("*").alias("n"))
+    members = one.join(classes.withColumnsRenamed({c: f"_{c}" for c in by}), F.expr("measure = _measure and name = _name and hard <=> _hard")).select("fact_id", "name_class")
+    met = exact_key_pairs(classes.select(F.col("name_class").alias("fact_id"), "measure", F.col("name").alias("subject_surface"), F.col("hard").alias("subject_key")))
+    size = lambda x: classes.select(F.col("name_class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"))
+    apart_ = met.withColumnsRenamed({"fact_a": "class_a", "fact_b": "class_b"}).join(size("a"), "class_a").join(size("b"), "class_b").select("class_a", "class_b", F.expr("n_a * n_b").alias("n"))
+    return members, apart_.unionByName(classes.select(F.col("name_class").alias("class_a"), F.col("name_class").alias("class_b"), F.expr("n * (n - 1) div 2").alias("n"))).where("n > 0")
+
+
+def folded_union(facts: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """(fact_a, fact_b, folded, blocked_by, n): the union of the exact keys with other strategies, without the pairs that only the keys propose.
+
+    Those are one row (folded) for each pair of key classes, with their number; every pair that another strategy proposes is a row of its own.
+    """
+    members, met = key_classes(facts)
+    member = lambda x: members.select(F.col("fact_id").alias(f"fact_{x}"), F.col("name_class").alias(f"_{x}"))
+    made = union_of(others).join(member("a"), "fact_a", "left").join(member("b"), "fact_b", "left").withColumns({"class_a": F.least("_a", "_b"), "class_b": F.greatest("_a", "_b")})
+    made = made.withColumn("class_a", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("class_a"))).join(met.select("class_a", "class_b", F.lit(True).alias("key")), ["class_a", "class_b"], "left")
+    rows = made.select("fact_a", "fact_b", F.lit(False).alias("folded"), F.when(F.col("key"), F.sort_array(F.concat("blocked_by", F.array(F.lit("key"))))).otherwise(F.col("blocked_by")).alias("blocked_by"), F.lit(1).cast("long").alias("n"))
+    taken = made.where("key").groupBy("class_a", "class_b").agg(F.count("*").alias("k"))
+    rest = met.join(taken, ["class_a", "class_b"], "left").select(F.col("class_a").alias("fact_a"), F.col("class_b").alias("fact_b"), F.lit(True).alias("folded"), F.array(F.lit("key")).alias("blocked_by"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")).where("n > 0")
+    return rows.unionByName(rest)
+
+
 def union_of(strategies: dict[str, DataFrame]) -> DataFrame:
     """(fact_a, fact_b, blocked_by): every pair once, with the sorted names of the strategies that proposed it."""
     every = reduce(DataFrame.unionByName, [p.select("fact_a", "fact_b", F.lit(name).alias("strategy")) for name, p in strategies.items()])
@@ -95,8 +171,9 @@ def only_touching(pairs: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def statistics(pairs: DataFrame, n_facts: DataFrame) -> DataFrame:
-    """One row: n_facts, theoretical pairs, candidates, proposals that several strategies made, and the share saved."""
-    made = pairs.agg(F.count("*").alias("candidates"), F.coalesce(F.sum(F.size("blocked_by") - 1), F.lit(0)).cast("long").alias("duplicates_dropped"))
+    """One row: n_facts, theoretical pairs, candidates, proposals that several strategies made, and the share saved. n: how many pairs a folded row is."""
+    n = F.col("n") if "n" in pairs.columns else F.lit(1)
+    made = pairs.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("candidates"), F.coalesce(F.sum((F.size("blocked_by") - 1) * n), F.lit(0)).cast("long").alias("duplicates_dropped"))
     n = n_facts.agg(F.count("*").alias("n_facts"))
     whole = made.join(n).withColumn("theoretical", (F.col("n_facts") * (F.col("n_facts") - 1) / 2).cast("long"))
     return whole.select("n_facts", "theoretical", "candidates", "duplicates_dropped", F.round(F.coalesce(F.try_divide(F.col("theoretical") - F.col("candidates"), F.col("theoretical")), F.lit(0.0)), 6).alias("reduction"))

@@ -122,6 +122,33 @@ def blocking_statistics(s: SparkSession, d: str) -> DataFrame:
     return blocking.statistics(*_blocked(s, d))
 
 
+def _blocked_facts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All three strategies over the facts that are compared."""
+    rows = ledger.loadable(table(s, d, "facts"))
+    f = cut(FA.comparable(rows).select("fact_id", "subject_surface", "subject_key", "measure", "quantity"))
+    vectors = FA.once(rows.select("fact_id", "embedding_model", "embedding", "created_at"))
+    return blocking.folded_union(f, {"value": blocking.magnitude_pairs(f), "semantic": blocking.semantic_pairs(vectors)}), f
+
+
+def facts_key_classes(s: SparkSession, d: str) -> DataFrame:
+    """The class of each fact in the folded rows of facts_blocking_union."""
+    f = ledger.loadable(table(s, d, "facts"))
+    measure = S.split_consolidation(F.coalesce("predicate_canonical", "predicate"))["measure"]
+    return blocking.key_classes(FA.once(f.select("fact_id", "subject_surface", "subject_key", measure.alias("measure"), "created_at")))[0]
+
+
+def facts_magnitude_pairs(s: SparkSession, d: str) -> DataFrame:
+    return blocking.magnitude_pairs(FA.comparable(ledger.loadable(table(s, d, "facts"))))
+
+
+def facts_blocking_union(s: SparkSession, d: str) -> DataFrame:
+    return _blocked_facts(s, d)[0].select("fact_a", "fact_b", "folded", F.concat_ws(",", "blocked_by").alias("blocked_by"), "n")
+
+
+def facts_blocking_statistics(s: SparkSession, d: str) -> DataFrame:
+    return blocking.statistics(*_blocked_facts(s, d))
+
+
 def _orders(s: SparkSession, d: str) -> DataFrame:
     """Orders as facts: the customer's total of a year under a segment that some orders don't state."""
     t = spread(table(s, d, "orders"), "o_custkey")  # the customers' orders meet below
@@ -328,7 +355,7 @@ def invariants(s: SparkSession, d: str) -> DataFrame:
 def _all() -> dict:
     fs = (
         canonical_predicates, surface_names, surface_identities, fact_ids, dimensions, quantities, written_digits, periods, fiscal_year_ends, deliveries, best_of_duplicates, anaphora, clear_modes, exact_key_pairs, magnitude_pairs, neighbours,
-        blocking_union, blocking_statistics, order_verdicts, decide_histogram, partition_groups, text_lines, furniture, chunk_headings, chunks, verify_chunks, evidence_window, aligned_claims, content_hashes, carry_forward, stale_relations,
+        blocking_union, blocking_statistics, facts_key_classes, facts_magnitude_pairs, facts_blocking_union, facts_blocking_statistics, order_verdicts, decide_histogram, partition_groups, text_lines, furniture, chunk_headings, chunks, verify_chunks, evidence_window, aligned_claims, content_hashes, carry_forward, stale_relations,
         adjudicated, adjudication_rates, facts_search, relations_list, verdict_histogram, ledger_stats, health, schema_summary, registry_aliases, registry_fold, contrasts, invariants,
     )
     return {f.__name__: f for f in fs}

@@ -80,6 +80,25 @@ def test_blocking(spark):
     assert blocking.only_touching(both, facts.where("fact_id = 'f_deck'")).count() == 3
 
 
+def test_blocking_of_facts_with_three_strategies(spark, monkeypatch):
+    from factweave.plans import core
+
+    vectors = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.0, 0.0], [0.1, 0.9]]
+    schema = COLUMNS + ", embedding array<float>, embedding_model string"
+    df = spark.createDataFrame([(*r, v, "m") for r, v in zip(MINI, vectors)], schema)
+    facts = FA.comparable(df)
+    key, value, near = blocking.exact_key_pairs(facts), blocking.magnitude_pairs(facts), blocking.semantic_pairs(df, k=1)
+    assert {tuple(r) for r in near.collect()} == {("f_deck", "f_report"), ("f_other", "f_prior")}
+    whole = blocking.union_of({"key": key, "value": value, "semantic": near})
+    folded = blocking.folded_union(facts, {"value": value, "semantic": near})
+    want = {(r.fact_a, r.fact_b): tuple(r.blocked_by) for r in whole.collect() if r.blocked_by != ["key"]}
+    assert {(r.fact_a, r.fact_b): tuple(r.blocked_by) for r in folded.where("not folded").collect()} == want
+    assert blocking.statistics(folded, facts).first() == blocking.statistics(whole, facts).first()
+    monkeypatch.setattr(core, "table", lambda s, d, name: df)
+    names = {n for r in core.facts_blocking_union(spark, "").collect() for n in r.blocked_by.split(",")}
+    assert names == {"key", "value", "semantic"} and core.facts_key_classes(spark, "").count() == 5
+
+
 def test_histogram_counts_every_pair(spark, monkeypatch):
     monkeypatch.setattr(tally, "CHUNK", 7)
     from factweave.plans import core
