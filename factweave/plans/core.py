@@ -229,9 +229,9 @@ def evidence_window(s: SparkSession, d: str) -> DataFrame:
 
 
 def aligned_claims(s: SparkSession, d: str) -> DataFrame:
-    """Claims located in their documents near where they are said to be: status by count."""
+    """Claims located in their documents near where they are said to be, unlocated ones in the whole text: status by count."""
     e = F.from_json("evidence_json", FA.EVIDENCE)
-    q = FA.once(table(s, d, "facts").select("fact_id", "doc_id", "claim_text", "evidence_json", "created_at")).select(F.col("fact_id").alias("quote_id"), "doc_id", F.col("claim_text").alias("quote"), F.greatest(e["char_start"], F.lit(0)).alias("near_start"), F.greatest(e["char_end"], F.lit(0)).alias("near_end"))
+    q = FA.once(table(s, d, "facts").select("fact_id", "doc_id", "claim_text", "evidence_json", "created_at")).select(F.col("fact_id").alias("quote_id"), "doc_id", F.col("claim_text").alias("quote"), F.when(e["char_start"] >= 0, e["char_start"]).alias("near_start"), F.when(e["char_start"] >= 0, e["char_end"]).alias("near_end"))
     return align.align(q, table(s, d, "documents")).groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -179,6 +179,17 @@ def test_alignment(spark):
     assert {r.quote_id: r.status for r in align.align(quotes, docs).collect()} == {"q1": "exact", "q2": "exact", "q3": "unlocated", "q4": "unlocated"}
 
 
+def test_unlocated_claims_are_sought_in_the_whole_text(spark, monkeypatch):
+    from factweave.plans import core
+
+    text = "Some words. " * 400 + "Freight revenue of the northern division rose to 8,142 crore in the year."
+    row = list(fact("u", "8,142 Cr"))
+    row[2], row[10] = "Freight revenue of the northern division rises to 8,142 crore in the year.", json.dumps({"page": None, "char_start": -1, "char_end": -1})
+    tables = {"facts": spark.createDataFrame([tuple(row)], COLUMNS), "documents": spark.createDataFrame([(1, text)], "doc_id long, text string")}
+    monkeypatch.setattr(core, "table", lambda s, d, name: tables[name])
+    assert [tuple(r) for r in core.aligned_claims(spark, "").collect()] == [("fuzzy", 1)]
+
+
 def test_extraction_from_cached_answers(spark):
     value = {"kind": "quantity", "raw": "622", "unit": None, "scale": None}
     one = {"passage_id": 0, "claim_text": "Payables were 622", "subject_surface": "Acme", "subject_key": None, "subject_type": None, "predicate": "consolidated_payables", "value": value, "qualifiers": [{"key": "Period", "value": "FY24", "provenance": "stated"}], "quote": "payables 622 INR crores", "confidence": 0.9}
