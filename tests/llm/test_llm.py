@@ -199,14 +199,43 @@ def test_name_pairs(spark):
 def test_prefix_filter_finds_every_similar_pair(spark):
     rnd = random.Random(2)
     made = ["".join(rnd.choice("abcde") for _ in range(8)) + " " + "".join(rnd.choice("fghij") for _ in range(8)) for _ in range(60)]
-    made += [m[:3] + m[4:] for m in made[:30]]
+    made += [m[:3] + m[4:] for m in made[:30]] + [m[:12] + "j" + m[12:] for m in made[:10]]
     df = spark.createDataFrame([(m,) for m in made], "n string")
     links = {tuple(r) for r in names.name_links(df, surface_col="n").collect()}
-    grams = {m: {f" {t} "[i : i + 3] for t in names.tokens_of(m) for i in range(len(t))} for m in made}
-    want = {(a, b) for a in made for b in made if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= names.JACCARD and names.name_similarity(names.tokens_of(a), names.tokens_of(b), [1.0, 1.0], [1.0, 1.0]) >= names.SCORE}
+    near = lambda a, b: all(names.token_similarity(x, y) >= names.SCORE for x, y in zip(names.tokens_of(a), names.tokens_of(b)))
+    want = {(a, b) for a in made for b in made if a < b and near(a, b)}
     assert want and want <= links
 
 
+def test_close_tokens_against_brute_force(spark):
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 12))) for _ in range(150)})
+    edited = sorted({w[:k] + rnd.choice(["", "x", "a"]) + w[k + rnd.randint(0, 2) :] for w in words for k in (1, 2)} - {""})
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "s string")
+    got = {tuple(r) for r in names.close_tokens(one(edited), one(words)).collect()}
+    within = {(a, b) for a in edited for b in words if names.edits(a, b) <= names.allowed_edits(max(len(a), len(b)))}
+    assert got <= within and {(a, b) for a, b in within if _plain_edits(a, b) <= names.allowed_edits(max(len(a), len(b)))} <= got
+
+
+def _plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_name_candidates_of_other_kinds(spark):
+    groups = [["Sharma Intl", "Sharma International"], ["Kalpana Ravindran", "K. Ravindran"], ["Datasoft Widgets", "Data Soft Widgets"], ["Bill Thurgood", "William Thurgod", "Will Thurgood"], ["Zenith", "Zenithh"]]
+    alone = ["B. Jasoelgar Wynerast", "Broaxen Jasolgar William", "word " * 400, "word " * 399]
+    df = spark.createDataFrame([(m, None) for g in groups for m in g] + [(m, None) for m in alone], "n string, k string")
+    links = {tuple(r) for r in names.name_links(df, surface_col="n").collect()}
+    of = {m: i for i, g in enumerate(groups) for m in g}
+    assert all(of.get(a, -1) == of.get(b, -2) for a, b in links) and {x for p in links for x in p} == set(of)
+
+
 # --- p8
 
 
