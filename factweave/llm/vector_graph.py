@@ -1,9 +1,10 @@
 """Most similar vectors by robust-pruned directed graphs, one for each shard of the collection.
 
-Vectors are sharded by their nearest pivots, fitted on a bounded sample. A shard's graph is grown in batches that double: a beam
+A vector is a node of one shard only, that of its nearest pivot; pivots are fitted on bounded samples, level by level, until shards
+are small, so the number of shards grows with the collection. A shard's graph is grown in batches that double: a beam
 search from the entry nodes proposes neighbours of each new vector, batch mates propose each other, and robust pruning with a relaxed distance
 keeps an edge only where no kept edge leads closer to its end. Edges are added in reverse and pruned again. Queries are answered
-by beam search in the shards they are sent to. All steps work on whole batches of vectors at once.
+by beam search in the shards whose pivots are nearly as similar as the nearest one. All steps work on whole batches of vectors at once.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-SHARD_ROWS, MAX_PIVOTS, SAMPLE_ROWS = 6_000, 2_048, 20_000
-DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 16, 16, 4, 1.1, 192
-#: Vectors also go to shards whose pivot is that much less similar than their nearest one, so that close pairs share a shard.
-MARGIN = 0.04
+#: Rows of a shard, pivots that one level fits at most (more rows take more levels), and sampled rows for each pivot.
+SHARD_ROWS, MAX_PIVOTS, SAMPLE = 6_000, 1_024, 64
+DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 20, 16, 4, 1.1, 192
+#: Queries go to shards whose pivot is that much less similar than their nearest one: for all close vectors, and for the k best.
+MARGIN, REACH = 0.06, 0.4
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, width: int = WIDTH, floor: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -186,56 +188,108 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _pivots(rows: DataFrame, n: int, shard_rows: int) -> tuple[np.ndarray, list[int]]:
-    """Centres of about n / shard_rows shards, fitted on a bounded sample that a hash of the id picks, and the graphs that each
-    shard needs by its share of the sample."""
-    k = max(1, min(MAX_PIVOTS, math.ceil(n / shard_rows)))
-    if k == 1:
-        return np.zeros((1, 1)), [max(1, math.ceil(n / (2 * shard_rows)))]
-    every = max(1, n // min(SAMPLE_ROWS, 100 * k))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vector").limit(2 * SAMPLE_ROWS)
-    x = unit_rows(sample.toArrow().column("vector"))
-    rng = np.random.default_rng(11)
-    c = x[rng.permutation(len(x))[:k]]
+def fit_pivots(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres of k cells of unit vectors by a few rounds of spherical k-means; the same for the same rows."""
+    c = x[np.random.default_rng(11).permutation(len(x))[:k]]
     for _ in range(6):
         own = np.argmax(x @ c.T, axis=1)
         s = np.zeros_like(c)
         np.add.at(s, own, x)
         norm = np.linalg.norm(s, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, s / np.maximum(norm, 1e-9), c)
-    share = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) / len(x) * n
-    return c, [math.ceil(m / shard_rows) if m > 2 * shard_rows else 1 for m in share]
+    return c
+
+
+def _first_pivots(rows: DataFrame, n: int, shard_rows: int, max_pivots: int) -> tuple[np.ndarray, float]:
+    """The first level's pivots, fitted on a sample of bounded size that a hash of the id picks, and the rows of the largest cell."""
+    k = max(1, min(max_pivots, math.ceil(n / shard_rows)))
+    if k == 1:
+        return np.zeros((1, 1)), n
+    every = max(1, n // (SAMPLE * 2 * k))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "vector").limit(SAMPLE * 4 * k)
+    x = unit_rows(sample.toArrow().sort_by("id").column("vector"))
+    c = fit_pivots(x, k)
+    return c, np.bincount(np.argmax(x @ c.T, axis=1)).max() / len(x) * n
+
 
+def _cells_of(v: np.ndarray, own: np.ndarray, asked: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own): own rows go to their nearest pivot's cell, asked ones also to the cells within the margin."""
+    s = v @ pivots.T
+    best = np.argmax(s, axis=1)
+    near = (s >= s.max(axis=1, keepdims=True) - margin) & asked[:, None]
+    near[np.arange(len(v)), best] |= own
+    row, cell = np.nonzero(near)
+    return row, cell, own[row] & (best[row] == cell)
 
-def _assigned(pivots: dict[tuple[str, int], np.ndarray], margin: float, spread: bool):
-    """Adds shard to (part, id, vector, asked): a row for every shard that gets the vector. own: the nearest one."""
+
+def _placed(batch: pa.RecordBatch | pa.Table, row: np.ndarray, cell: np.ndarray, own: np.ndarray) -> pa.Table:
+    """The rows in their new cells; a cell is called by its path from the first level on."""
+    out = batch.take(pa.array(row))
+    path = [f"{p}/{c}" if p else str(c) for p, c in zip(out.column("shard").to_pylist(), cell.tolist())]
+    return pa.table({"part": out.column("part"), "shard": pa.array(path, pa.string()), "id": out.column("id"), "vector": out.column("vector"), "own": pa.array(own), "asked": out.column("asked")})
+
+
+def _assigned(pivots: dict[str, np.ndarray], margin: float):
+    """Rows (part, shard, id, vector, own, asked) in the cells of the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.column("part").to_pylist()
+            groups = np.array(batch.column("part").to_pylist(), dtype=object)
             asked = batch.column("asked").to_numpy(zero_copy_only=False)
             for part in sorted(set(groups)):
-                at = np.array([i for i, g in enumerate(groups) if g == part])
-                c = pivots[part]
-                k = len(c)
-                if k == 1:
-                    row, shard, own = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                at = np.flatnonzero(groups == part)
+                some, c = batch.take(pa.array(at)), pivots[part]
+                if len(c) == 1:
+                    row, cell, own = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
                 else:
-                    s = unit_rows(batch.column("vector").take(pa.array(at))) @ c.T
-                    top = s.max(axis=1, keepdims=True)
-                    near = s >= top - margin
-                    if spread:
-                        near = (s == top) | asked[at][:, None]
-                    row, shard = np.nonzero(near)
-                    own = (s >= top - margin)[row, shard] if not spread else np.argmax(s, axis=1)[row] == shard
-                out = batch.take(pa.array(at[row]))
-                yield pa.RecordBatch.from_arrays([out.column("part"), pa.array(shard.astype(np.int32)), out.column("id"), out.column("vector"), pa.array(own & True), pa.array(asked[at][row])], ["part", "shard", "id", "vector", "own", "asked"])
+                    row, cell, own = _cells_of(unit_rows(some.column("vector")), np.ones(len(at), bool), asked[at], c, margin)
+                yield from _placed(some, row, cell, own).to_batches()
+
+    return run
+
+
+def _divided(shard_rows: int, max_pivots: int, margin: float):
+    """Rows of a salt of a large cell in cells of their own: every salt fits the same pivots on the cell's sample."""
+
+    def run(sample: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["part", "shard", "id", "vector", "own", "asked"])
+        own, asked = (rows.column(c).to_numpy() for c in ("own", "asked"))
+        if not sample.num_rows:
+            return _placed(rows, np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64), own)
+        x = unit_rows(sample.sort_by("id").column("vector"))
+        k = min(max_pivots, max(2, math.ceil(len(x) * sample.column("every")[0].as_py() / shard_rows)), len(x))
+        return _placed(rows, *_cells_of(unit_rows(rows.column("vector")), own, asked, fit_pivots(x, k), margin))
 
     return run
 
 
+def _levels(placed: DataFrame, shard_rows: int, max_pivots: int, margin: float, levels: int = 3) -> DataFrame:
+    """placed with large cells divided by pivots of their own, level by level; its cells are counted by their own rows."""
+    kind = placed.schema["id"].dataType.simpleString()
+    schema = f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean"
+    done: DataFrame | None = None
+    for _ in range(levels):
+        placed = cut(placed)
+        # as many rows as cells of a level that are large: a row for shard_rows rows of the collection at most
+        sizes = placed.groupBy("part", "shard").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).where(F.col("n") > 4 * shard_rows)
+        if sizes.isEmpty():
+            break
+        k = F.least(F.ceil(F.col("n") / shard_rows), F.lit(max_pivots))
+        sizes = cut(sizes.select("part", "shard", F.greatest(F.lit(1), F.floor(F.col("n") / (k * SAMPLE))).alias("every"), F.ceil(F.col("m") / (16 * shard_rows)).alias("salts")))
+        large = placed.join(sizes, ["part", "shard"])
+        rest = placed.join(sizes, ["part", "shard"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        salted = large.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")))
+        sample = large.where(F.col("own") & (F.pmod(F.xxhash64("id"), F.col("every")) == 0)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        sample = sample.select(*(F.col(c).alias(c) for c in sample.columns))  # columns of its own, as both sides come from one table
+        by = ["part", "shard", "salt"]
+        placed = sample.groupBy(*by).cogroup(salted.groupBy(*by)).applyInArrow(_divided(shard_rows, max_pivots, margin), schema)
+    return placed if done is None else done.unionByName(placed)
+
+
 def _searched(k: int, degree: int, beam: int, at_least: float | None):
-    """(id, other, similarity) of a shard: the graph over its own rows, queried by the asked rows."""
+    """(id, other, similarity) of a shard: the graph over its own rows, queried by the asked rows, own ones and visitors."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -244,33 +298,35 @@ def _searched(k: int, degree: int, beam: int, at_least: float | None):
         exact = unit_rows(table.column("vector"))
         x = np.ascontiguousarray(exact[own].astype(np.float32))
         nodes = np.flatnonzero(own)
-        graph, entries = build_graph(x, degree, beam)
+        graph, entries = build_graph(x, degree, beam) if len(nodes) else (None, None)
         node_of = np.full(len(own), -1, dtype=np.int64)
         node_of[nodes] = np.arange(len(nodes))
-        queries = np.flatnonzero(asked)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(0, len(queries) if len(nodes) else 0, 768):
-            rows = queries[i : i + 768]
-            start = starts(x, entries, exact[rows].astype(np.float32))
-            if (node_of[rows] >= 0).all():  # from the row's own node too, where it has one
-                start = np.concatenate([node_of[rows][:, None], start], axis=1)
-            most = max(beam, 3 * k)
-            ids, sims = beam_search(x, graph, exact[rows].astype(np.float32), start, min(most, max(1, len(nodes))), floor=None if at_least is None else min(0.9, at_least - 0.05))
-            ok = (ids >= 0) & (ids != node_of[rows][:, None])
-            if at_least is not None:
-                ok &= sims >= at_least - 1e-4
-                full = ok.sum(axis=1) >= ids.shape[1] - 2
-                for j in np.flatnonzero(full):  # more partners than the beam holds: all of the shard, exactly
-                    hits = np.flatnonzero(exact[nodes] @ exact[rows[j]] >= at_least - 1e-4)
-                    hits = hits[hits != node_of[rows[j]]]
-                    left.append(np.full(len(hits), rows[j]))
-                    right.append(nodes[hits])
-                    ok[j] = False
-            else:
-                ok &= np.cumsum(ok, axis=1) <= k
-            a, c = np.nonzero(ok)
-            left.append(rows[a])
-            right.append(nodes[ids[a, c]])
+        for mine in (True, False) if len(nodes) else ():
+            queries = np.flatnonzero(asked & (own == mine))
+            for i in range(0, len(queries), 768):
+                rows = queries[i : i + 768]
+                q = exact[rows].astype(np.float32)
+                start = starts(x, entries, q, 4 if mine else 8)
+                if mine:  # from the row's own node too; what is far from it leads nowhere
+                    start = np.concatenate([node_of[rows][:, None], start], axis=1)
+                most = max(beam, 3 * k) if mine or at_least is None else 12
+                ids, sims = beam_search(x, graph, q, start, min(most, len(nodes)), floor=min(0.9, at_least - 0.05) if mine and at_least is not None else None)
+                ok = (ids >= 0) & (ids != node_of[rows][:, None])
+                if at_least is not None:
+                    ok &= sims >= at_least - 1e-4
+                    full = ok.sum(axis=1) >= ids.shape[1] - 2
+                    for j in np.flatnonzero(full):  # more partners than the beam holds: all of the shard, exactly
+                        hits = np.flatnonzero(x @ q[j] >= at_least - 1e-4)
+                        hits = hits[hits != node_of[rows[j]]]
+                        left.append(np.full(len(hits), rows[j]))
+                        right.append(nodes[hits])
+                        ok[j] = False
+                else:
+                    ok &= np.cumsum(ok, axis=1) <= k
+                a, c = np.nonzero(ok)
+                left.append(rows[a])
+                right.append(nodes[ids[a, c]])
         a, b = np.concatenate(left), np.concatenate(right)
         sims = np.einsum("md,md->m", exact[a], exact[b])
         if at_least is not None:
@@ -289,39 +345,36 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     vectors: DataFrame, *, id_col: str, vector_col: str, part_col: str, k: int = 10, asked: Column | None = None, at_least: float | None = None,
-    shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, margin: float = MARGIN,
+    shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, margin: float | None = None, max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """(id, other, similarity): the vectors most similar by cosine to each asked vector of its part (e.g. the model that made it) and width.
 
-    With `at_least`, all vectors of at least that similarity, for rows in a shard together: close vectors share one because each also goes to the
-    shards within `margin`. Without, the `k` best over all shards, each of which every asked vector is sent to, so `asked` should be
-    a stated set of queries; `margin` plays no part then. Ids must be unique; null ids, parts and vectors, and zero vectors, are no rows
-    of the collection. Ties go by id. A shard of more than twice `shard_rows` rows becomes several graphs, each asked by all its rows.
+    With `at_least`, all vectors of at least that similarity; without, the `k` best. An asked vector visits the shards whose pivots are
+    within `margin` of its nearest one's similarity (MARGIN or REACH), and meets the vectors whose own shard that is. Ids must be unique;
+    null ids, parts and vectors, and zero vectors, are no rows of the collection. Ties go by id. A shard that stays beyond four times
+    `shard_rows` rows, because its vectors are too alike to be divided, becomes several graphs, each asked by all its visitors.
     """
     spark = vectors.sparkSession
     ship(spark)
-    spread = at_least is None
+    margin = margin if margin is not None else (REACH if at_least is None else MARGIN)
     part = F.concat_ws("#", F.col(part_col), F.size(vector_col))
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull() & F.col(part_col).isNotNull()).select(
-        part.alias("part"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(asked if asked is not None else F.lit(True), F.lit(False)).alias("asked")
+        part.alias("part"), F.lit("").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(asked if asked is not None else F.lit(True), F.lit(False)).alias("asked")
     )
     kind = rows.schema["id"].dataType.simpleString()
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    fitted = {p: _pivots(rows.where(F.col("part") == p), n, shard_rows) for p, n in counts.items()}
-    placed = rows.mapInArrow(_assigned({p: c for p, (c, _) in fitted.items()}, margin, spread), f"part string, shard int, id {kind}, vector array<float>, own boolean, asked boolean")
-    cuts = [(p, i, c) for p, (_, graphs) in fitted.items() for i, c in enumerate(graphs) if c > 1]
-    if cuts:
-        listed = spark.createDataFrame(cuts, "part string, shard int, cuts int")
-        several = placed.join(F.broadcast(listed), ["part", "shard"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-        mine = F.pmod(F.xxhash64("id"), F.col("cuts").cast("long"))
-        placed = several.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("own", F.col("own") & (F.col("cut") == mine)).drop("cuts")
-    else:
+    fitted = {p: _first_pivots(rows.where(F.col("part") == p), n, shard_rows, max_pivots) for p, n in counts.items()}
+    placed = rows.mapInArrow(_assigned({p: c for p, (c, _) in fitted.items()}, margin), f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean")
+    if all(most <= 3 * shard_rows for _, most in fitted.values()):
         placed = placed.withColumn("cut", F.lit(0))
+    else:
+        placed = _levels(placed, shard_rows, max_pivots, margin)
+        several = placed.groupBy("part", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count_if("own") / (4 * shard_rows))).alias("cuts")).where("cuts > 1")
+        met = placed.join(several, ["part", "shard"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        placed = met.withColumn("own", F.col("own") & (F.col("cut") == F.pmod(F.xxhash64("id"), F.col("cuts")))).drop("cuts")
     found = placed.groupBy("part", "shard", "cut").applyInArrow(_searched(k, degree, beam, at_least), f"id {kind}, other {kind}, similarity double")
-    if not spread:
+    if at_least is not None:
         return found.distinct()
-    from pyspark.sql import Window
-
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "similarity")
 
@@ -361,8 +414,6 @@ def similar_facts(facts: DataFrame, k: int = 10, one_in: int = 20, **options) ->
     """
     once = facts.select("fact_id", "embedding_model", "embedding").dropDuplicates(["fact_id"])
     asked = F.pmod(F.xxhash64("fact_id"), F.lit(one_in)) == 0
-    found = nearest(once, id_col="fact_id", vector_col="embedding", part_col="embedding_model", k=k, asked=asked, beam=options.pop("beam", 48), degree=options.pop("degree", 16), **options)
-    from pyspark.sql import Window
-
+    found = nearest(once, id_col="fact_id", vector_col="embedding", part_col="embedding_model", k=k, asked=asked, **({"beam": 48, "degree": 16} | options))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return found.select(F.col("id").alias("fact_id"), "other", rank.alias("rank"), F.round("similarity", 9).alias("similarity"))

@@ -161,6 +161,8 @@ def test_close_pairs_and_similar(spark):
     assert got <= true and len(got) >= 0.97 * len(true) and ("h1", "h2") in got
     some = {tuple(r) for r in vector_graph.close_pairs(df, shard_rows=60).collect()}
     assert some <= true and len(some) >= 0.9 * len(true)
+    deep = {tuple(r) for r in vector_graph.close_pairs(df, shard_rows=20, max_pivots=3).collect()}
+    assert deep <= true and len(deep) >= 0.9 * len(true)
     assert vector_graph.close_pairs(df.limit(0)).count() == 0
     sim = vector_graph.similar_facts(df, k=5, one_in=4, shard_rows=150).collect()
     hit = total = 0
