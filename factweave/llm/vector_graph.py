@@ -372,7 +372,9 @@ def nearest(
         several = placed.groupBy("part", "shard").agg(F.greatest(F.lit(1), F.ceil(F.count_if("own") / (4 * shard_rows))).alias("cuts")).where("cuts > 1")
         met = placed.join(several, ["part", "shard"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
         placed = met.withColumn("own", F.col("own") & (F.col("cut") == F.pmod(F.xxhash64("id"), F.col("cuts")))).drop("cuts")
-    found = placed.groupBy("part", "shard", "cut").applyInArrow(_searched(k, degree, beam, at_least), f"id {kind}, other {kind}, similarity double")
+    # about a shard a task, whatever the session's number of shuffle partitions
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(math.ceil(n / shard_rows) for n in counts.values()))
+    found = placed.repartition(tasks, "part", "shard", "cut").groupBy("part", "shard", "cut").applyInArrow(_searched(k, degree, beam, at_least), f"id {kind}, other {kind}, similarity double")
     if at_least is not None:
         return found.distinct()
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
