@@ -57,6 +57,7 @@ class Vocabulary:
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids: dict[bytes, int] = {as_bytes(k): v for k, v in model["vocab"].items() if all(c in letters for c in k)}
+        self.lengths: dict[int, int] = {t: len(b) for b, t in self.ids.items()}
         self.merged: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -227,7 +228,6 @@ class EncodedText:
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process and path."""
     v = Vocabulary(path)
-    v.lengths = {t: len(b) for b, t in v.ids.items()}
     return v
 
 

@@ -1,9 +1,10 @@
-"""One form for texts that look the same: tries of vocabulary words walked by an edit automaton with free look-alikes and ignorables.
+"""One form for texts that look the same: a trie of vocabulary words walked by a weighted edit automaton, and a table for the rest.
 
-A token with any character beyond ASCII is read against a trie of words. The automaton moves along an edge at no cost where the
-character read and the edge look the same, and stays where it is on an ignorable; any other edit costs more than is allowed. Of the
-words reached the one ranked first is the canonical spelling; a token that reaches none is normalized by the same table. Looking
-the same is an equivalence here, so tokens that look the same always get the same form, whichever of the two ways they take.
+Every token with a character beyond ASCII is read against the trie of a public vocabulary's words. The automaton moves along an edge at no cost where
+the character read and the edge look the same, and stays where it is on an ignorable; it moves at a cost where they look alike only in
+some fonts, in a token that has a plainly Latin letter; any other edit costs more than is allowed. The word reached at the least cost gives the canonical spelling: the ASCII one of the
+words that look the same, or else the one ranked first. A token that reaches no word, or two at one cost, is normalized by the table. Words and
+tokens are told apart by their looks alone, so that tokens that look the same always get the same form.
 """
 
 from __future__ import annotations
@@ -28,6 +29,13 @@ LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "ɑ": "a", "ɡ": "g", "ı": "ı", "ո": "n", "օ": "o", "ս": "u",
 }
+# Letters that stand for a Latin one only in a word that is Latin otherwise.
+WEAK = {
+    "к": "k", "κ": "k", "ν": "v", "υ": "u", "ρ": "p", "α": "a", "ι": "i", "τ": "t", "χ": "x", "ε": "e", "η": "n", "в": "b", "н": "h", "м": "m", "т": "t", "г": "r", "п": "n", "и": "u", "ѵ": "v", "ԝ": "w", "ʏ": "y", "ɩ": "i", "ʀ": "r", "ɴ": "n", "ᴛ": "t", "ᴍ": "m",
+    "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴋ": "k", "ᴅ": "d", "ᴇ": "e", "ᴀ": "a", "ʙ": "b", "ɢ": "g", "ʜ": "h", "ʟ": "l", "ᴘ": "p", "ᴜ": "u",
+}
+#: What an edit of the automaton costs, and what all edits of a token may cost.
+EQUAL, ALIKE, OTHER, ALLOWED = 0, 1, 10, 3
 # Joined letters, and hyphens that look like the ordinary one.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj"}
 HYPHENS = {"‐": "-", "‑": "-"}
@@ -57,32 +65,47 @@ def looks(token: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", plain).translate(_MAPPED))
 
 
+#: Latin letters that no letter of another script looks like: a token that has one is Latin.
+_PLAIN = frozenset(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in LOOK_ALIKES.values())
+
+
 class Trie:
-    """Words in canonical decomposition, one edge a character; edges that look the same stand together under one look."""
+    """Words by their looks, one edge a character; each end holds the canonical spelling of the words that look so."""
 
     def __init__(self, words: list[str]):
         self.root: dict = {}
         for rank, word in enumerate(words):
+            look = looks(word)
             node = self.root
-            for c in unicodedata.normalize("NFD", word):
-                node = node.setdefault(_TABLE.get(c, c), {}).setdefault(c, {})
-            node.setdefault("", (rank, word))
+            for c in unicodedata.normalize("NFD", look):
+                node = node.setdefault(c, {})
+            # the ASCII spelling, where there is one, is what tokens within ASCII have already
+            node.setdefault("", look if look.isascii() else word)
 
     def find(self, token: str) -> str | None:
-        """The word ranked first among those reached at no cost."""
-        states = [self.root]
-        for c in unicodedata.normalize("NFD", token):
-            if _IGNORED.match(c):
-                continue
-            for look in _TABLE.get(c, c):
-                states = [child for s in states for child in s.get(look, _NONE).values()]
-            if not states:
-                return None
-        ends = [s[""] for s in states if "" in s]
-        return min(ends)[1] if ends else None
-
-
-_NONE: dict = {}
+        """The canonical spelling of the word reached at the least cost; None where there is none or two of one cost."""
+        look = unicodedata.normalize("NFD", looks(token))
+        states = [(0, self.root)]
+        if not _PLAIN.isdisjoint(look):  # look-alikes of some fonts count
+            for c in look:
+                after: dict[int, tuple[int, dict]] = {}
+                for cost, node in states:
+                    for edge, price in ((c, EQUAL), (WEAK.get(c), ALIKE)):
+                        if (child := node.get(edge)) is not None and cost + price <= ALLOWED and (id(child) not in after or after[id(child)][0] > cost + price):
+                            after[id(child)] = (cost + price, child)
+                states = list(after.values())
+                if not states:
+                    return None
+        else:
+            node = self.root
+            for c in look:
+                if (node := node.get(c)) is None:
+                    return None
+            states = [(0, node)]
+        ends = sorted((cost, node[""]) for cost, node in states if "" in node)
+        # words of some fonts' look-alikes must be ASCII
+        ends = [(cost, word) for cost, word in ends if not cost or word.isascii()]
+        return ends[0][1] if ends and (len(ends) == 1 or ends[0][0] < ends[1][0]) else None
 
 
 def default_vocabulary() -> str:
@@ -96,14 +119,11 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def vocabulary_words(path: str) -> tuple[str, ...]:
-    """Whole words beyond ASCII of a public tokenizer's file, in rank order; a file's size bounds them. None if there is no file."""
-    try:
-        with open(path, "rb") as f:
-            tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    except OSError:
-        return ()
+    """Whole words of a public tokenizer's file, in rank order; a file's size bounds them. A file that is missing on a worker is an error."""
+    with open(path, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
     words = (t.decode("utf-8", "ignore").strip() for t in tokens)
-    return tuple(dict.fromkeys(unicodedata.normalize("NFC", w) for w in words if len(w) > 1 and not w.isascii() and w.isalpha()))
+    return tuple(dict.fromkeys(unicodedata.normalize("NFC", w) for w in words if len(w) > 1 and w.isalpha()))
 
 
 class Canonical(dict):
@@ -129,12 +149,7 @@ class Canonical(dict):
         if (known := self.tokens.get(token)) is None:
             if len(self.tokens) > 300_000:
                 self.tokens.clear()
-            known = looks(token)
-            # a look within ASCII is its own form, so that plain tokens need no search
-            if not known.isascii():
-                known = self.trie.find(token) or known
-                known = unicodedata.normalize("NFC", known)
-            self.tokens[token] = known
+            self.tokens[token] = known = unicodedata.normalize("NFC", self.trie.find(token) or looks(token))
         return known
 
     def text(self, text: str | None) -> str | None:

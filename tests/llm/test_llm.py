@@ -350,6 +350,19 @@ def test_one_form():
     assert forms.text(None) is None and forms.text("") == "" and forms.text("​ \xa0") == ""
 
 
+def test_the_trie_decides_where_the_table_cannot():
+    forms, table = lookalikes.canonical(lookalikes.default_vocabulary()), lookalikes.Canonical(())
+    # к, п and в look like k, n and b in some fonts only: a Latin word of the vocabulary is meant
+    for a, b in [("market", "marкet"), ("number", "пumвer"), ("Company", "Cоmраnу")]:
+        assert forms.text(b) == a, b
+    assert forms.text("maркet") != forms.text("market") and table.text("marкet") == "marкet"
+    # no Latin word is meant: other scripts stay, words of the vocabulary in their own spelling
+    assert forms.text("какая") == forms.text("кaкaя") == "какая" and table.text("какая") != "какая"
+    assert forms.text("naïve") != forms.text("naive") and forms.text("кот") != forms.text("kot")
+    with pytest.raises(OSError):
+        lookalikes.vocabulary_words("/no/such/file")
+
+
 @given(st.lists(st.sampled_from("abcеорс xＡéè́​ﬁfi‐- \n"), max_size=12).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_form_is_stable_and_follows_the_table(text):
