@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -207,13 +207,13 @@ class EncodedText:
         keep = max(0, bisect_right(self.ends, at) - 2)
         begin = self.ends[keep - 1] if keep else 0
         shift, after = len(inserted) - removed, at + len(inserted)
-        old = {e + shift: k for k, e in enumerate(self.ends) if e >= at + removed}
         ends, parts, resume = [], [], len(self.ends)
         for m in regex.finditer(PATTERN, text, pos=begin):
             ends.append(m.end())
             parts.append(self.vocabulary.word(m.group()))
-            if m.start() >= after and m.end() in old:
-                resume = old[m.end()] + 1
+            k = bisect_left(self.ends, m.end() - shift)
+            if m.start() >= after and k < len(self.ends) and self.ends[k] == m.end() - shift >= at + removed:
+                resume = k + 1
                 break
         tail = self.ends[resume:]
         self.ends = self.ends[:keep] + ends + [e + shift for e in tail]

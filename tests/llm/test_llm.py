@@ -134,6 +134,12 @@ def _groups(pairs):
     return {x: find(x) for x in parent}
 
 
+def test_components_of_a_hot_node_in_levels(spark):
+    df = spark.createDataFrame([(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2300)] + [(899, 2300)], "x long, y long")
+    got = {r.node: r.component for r in components.connected_components(df, "x", "y", edges_per_partition=100).collect()}
+    assert got == {i: 0 for i in [*range(900), *range(2000, 2301)]}
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 40])
 def test_components(spark, bound):
     rnd = random.Random(bound)
