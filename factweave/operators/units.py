@@ -2,7 +2,7 @@
 
 The figure is read from the value itself. Unit and scale names are matched by one Aho-Corasick automaton in the value, in its unit and
 scale fields and next to the figure in the claim; overlapping matches give way to the longest. The nearest field that names a unit decides, and so for
-scales. What remains ambiguous is settled by context: `m` is a million after a currency and a metre elsewhere. Exact decimal arithmetic converts.
+scales. What remains ambiguous is settled by context: `m` is a million after a currency and a metre elsewhere. Whole numbers of any size convert exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -47,7 +46,7 @@ SCALE_NAMES = {
     9: "bn, bn., bln, billion, billions", 10: "thousand crore, thousand crores, '000 crore, '000 crores", 12: "tn, tn., trn, trillion, trillions, lakh crore, lakh crores, lac crore, lac crores",
 }
 
-_NUMBER = re.compile(r"\d{1,3}(?:[,\u00a0\u2007\u2009\u202f ]\d{2,3})+(?![\d])(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+")
+_NUMBER = re.compile(r"(\d{1,3}(?:[,\u00a0\u2007\u2009\u202f ]\d{2,3})+(?![\d])(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:[eE]([+-]?\d{1,4})(?!\w)|\s?[x×*]\s?10(?:\^|\*\*)\s?([+-]?\d{1,4})(?!\w))?")
 #: What may stand between a figure and its scale or unit.
 _GAP = re.compile(r"[\s\u00a0\u202f,()\[\]]*(?:in\s+)?")
 
@@ -93,21 +92,19 @@ def matches(text: str) -> list[tuple[int, int, str, str | int]]:
 
 
 def read_number(text: str) -> tuple[int, int, int, int] | None:
-    """(mantissa with sign, decimals, start, end) of the first figure. A minus before it or parentheses around it make it negative."""
+    """(mantissa with sign, decimals, start, end) of the first figure, a power of ten taken off the decimals. A minus before it or parentheses around it make it negative."""
     for m in _NUMBER.finditer(text):
         start, end = m.span()
         if start and text[start - 1] in "'’":  # '000 is a scale
             continue
-        figure = re.sub(r"[^\d.]", "", m.group())
-        whole, _, part = figure.partition(".")
-        if len(whole) + len(part) > 18:
-            return None
-        value = int((whole + part) or "0")
+        whole, _, part = re.sub(r"[^\d.]", "", m.group(1)).partition(".")
+        value = int((whole + part)[:4300] or "0")
         before = text[:start].rstrip()
         minus = bool(before) and before[-1] in "-−–" and not (len(before) > 1 and before[-2].isalnum())
         minus |= bool(before) and before[-1] == "(" and text[end : end + 4].lstrip().startswith(")")
         minus |= bool(re.match(r"^\(\s*[^\d()]*$", before)) and text.rstrip().endswith(")")
-        return (-value if minus else value), len(part), start, end
+        lost = max(0, len(whole) + len(part) - 4300)  # digits that no whole number within BIGINT turns on
+        return (-value if minus else value), len(part) - lost - int(m.group(2) or m.group(3) or 0), start, end
     return None
 
 
@@ -119,7 +116,7 @@ def _beside(text: str, start: int, end: int) -> tuple[str | None, int | None]:
     text = text[: end + 80]
     if start > 80:
         text, start, end = " " + text[start - 60 :], 61, end - start + 61
-    named = matches(text)
+    named = matches(text[:start] + "|" * (end - start) + text[end:])  # '000 may be glued to its figure
     at = _GAP.match(text, end).end()
     after = {m[0]: m for m in named}
     while (m := after.get(at)) is not None and (unit is None or scale is None):
@@ -196,54 +193,59 @@ def read_quantity(value_json: str | None, claim: str | None) -> tuple[int, int,
     return mantissa, scale - decimals, unit
 
 
-_SCHEMA = "mantissa decimal(20,0), power int, unit string"
+_SCHEMA = "mantissa string, power int, unit string"
 
 
 def _reading(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from decimal import Decimal
-
         for batch in batches:
             read = [read_quantity(v, c) for v, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = [
-                pa.array([Decimal(r[0]) if r else None for r in read], pa.decimal128(20, 0)),
-                pa.array([r[1] if r else None for r in read], pa.int32()),
-                pa.array([r[2] if r else None for r in read], pa.string()),
-            ]
+            columns = [pa.array([str(r[0]) if r else None for r in read], pa.string()), pa.array([r[1] if r else None for r in read], pa.int32()), pa.array([r[2] if r else None for r in read], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "mantissa", "power", "unit"])
 
     return run
 
 
+def whole(mantissa: int, power: int, num: int, den: int) -> int | None:
+    """mantissa * 10**power * num / den as a whole number, halves away from zero; None beyond BIGINT."""
+    digits = len(str(abs(mantissa)))
+    if not mantissa or digits + power < -40:
+        return 0
+    if digits + power > 40:
+        return None
+    n, d = abs(mantissa) * num * 10 ** max(power, 0), den * 10 ** max(-power, 0)
+    value = (2 * n + d) // (2 * d) * (1 if mantissa > 0 else -1)
+    return value if -(2**63) <= value < 2**63 else None
+
+
+def _converted(id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [whole(int(m), p, n, d) for m, p, n, d in zip(*(batch.column(c).to_pylist() for c in ("mantissa", "power", "num", "den")))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("common_unit"), pa.array(values, pa.int64())], [id_col, "common_unit", "common_value"])
+
+    return run
+
+
 def conversions(common_units: DataFrame) -> DataFrame:
     """unit, common_unit, num, den of the units whose common unit is listed; as many rows as FACTORS has."""
-    big = T.DecimalType(20, 0)
-    schema = T.StructType([T.StructField("unit", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("common_unit", T.StringType()), T.StructField("num", big), T.StructField("den", big)])
-    from decimal import Decimal
-
-    rows = [(u, d, c, Decimal(n), Decimal(m)) for u, (d, c, n, m) in FACTORS.items()]
+    rows = [(u, d, c, n, m) for u, (d, c, n, m) in FACTORS.items()]
+    schema = "unit string, dimension string, common_unit string, num long, den long"
     return common_units.sparkSession.createDataFrame(rows, schema).join(common_units.select("dimension", "common_unit").distinct(), ["dimension", "common_unit"], "left_semi").select("unit", "common_unit", "num", "den")
 
 
 def to_common_units(quantities: DataFrame, common_units: DataFrame, *, id_col: str = "fact_id", value_col: str = "value_json", claim_col: str = "claim_text") -> DataFrame:
     """(id_col, common_unit, common_value): readable quantities in whole common units, halves away from zero.
 
-    Rows without a readable figure (null or broken JSON, nil, a dash), with a figure of more than 18 digits or beyond BIGINT, or of a unit without
-    a common unit give no row. A figure without any unit is 'each'. Repeated rows stay repeated; other columns are dropped. The
+    Rows without a readable figure (null or broken JSON, nil, a dash), with a value beyond BIGINT, or of a unit without a common unit give
+    no row; figures may have any number of digits, and powers of ten as in 1.5e6 or 1.5 x 10^6. A figure without any unit is 'each'. Repeated rows stay repeated; other columns are dropped. The
     conversion factors are a fixed table, so they are broadcast whatever the data.
     """
     ship(quantities.sparkSession)
     kind = quantities.schema[id_col].dataType.simpleString()
     read = quantities.select(id_col, value_col, claim_col).mapInArrow(_reading(id_col), f"`{id_col}` {kind}, {_SCHEMA}").where("unit is not null")
     met = read.join(F.broadcast(conversions(common_units)), "unit")
-    ten = lambda c: F.rpad(F.lit("1"), (c + 1).cast("int"), F.lit("0")).cast("decimal(38,0)")
-    up, down = F.greatest(F.col("power"), F.lit(0)), F.greatest(-F.col("power"), F.lit(0))
-    near = F.abs(F.col("mantissa").cast("double")) * F.pow(F.lit(10.0), F.col("power")) * F.col("num").cast("double") / F.col("den").cast("double")
-    fits = met.where((near < 9.0e18) & (F.col("power") >= -17)).withColumn("n", (F.abs("mantissa").cast("decimal(38,0)") * ten(up)).cast("decimal(38,0)")).withColumn("d", (F.col("den").cast("decimal(38,0)") * ten(down)).cast("decimal(38,0)"))
-    fits = fits.withColumn("n", (F.col("n") * F.col("num")).cast("decimal(38,0)"))
-    return fits.select(
-        id_col, "common_unit", F.expr("cast(sign(mantissa) as bigint) * ((cast(2 as decimal(38,0)) * n + d) div (cast(2 as decimal(38,0)) * d))").cast("long").alias("common_value")
-    )
+    return met.select(id_col, "mantissa", "power", "num", "den", "common_unit").mapInArrow(_converted(id_col), f"`{id_col}` {kind}, common_unit string, common_value long").where("common_value is not null")
 
 
 def unread_quantities(facts: DataFrame, common_units: DataFrame) -> DataFrame:

@@ -131,6 +131,8 @@ QUANTITIES = [
     ("52.3 percent", "percent", None, "", ("bps", 5230)), ("4", "lac, hectare", None, "", ("m2", 4000000000)), ("3.415 '000 km", None, None, "", ("m", 3415000)), ("222 134", None, None, "in H1 FY15 came to 222 134.", ("each", 222134)),
     ("4.9", "gigajoules", "Thousand", "", ("kwh", 1361111)), ("90", "mins", None, "", ("hour", 2)), ("30", "mins", None, "", ("hour", 1)), ("-30", "mins", None, "", ("hour", -1)), ("1.5", None, None, "it was Rs 1.5 m in FY20", ("INR", 1500000)), ("1.5 m", None, None, "", ("m", 2)),
     ("７.１９５ units", None, "Mn", "", ("each", 7195000)), ("nil", None, None, "", None), ("-", "km", None, "", None), (None, None, None, "", None), ("9" * 25, None, None, "", None), ("0", "km", None, "", ("m", 0)), ("about ₹975", None, "millions", "", ("INR", 975000000)),
+    ("1.5e6 kg", None, None, "", ("kg", 1500000)), ("2.5 x 10^3 t", None, None, "", ("kg", 2500000)), ("0.1234567890123456789 kg", None, None, "", ("kg", 0)), ("1234567890123456789", None, None, "", ("each", 1234567890123456789)), (str(2**63 - 1), None, None, "", ("each", 2**63 - 1)),
+    (str(2**63), None, None, "", None), ("-" + str(2**63), None, None, "", ("each", -(2**63))), ("1." + "5" * 5000, "km", None, "", ("m", 1556)), ("9" * 6000, None, None, "", None), ("1e400", None, None, "", None), ("5e-400", "m", None, "", ("m", 0)), ("1.560", None, None, "came to 1.560'000 gigajoules.", ("kwh", 433333)),
 ]
 
 
