@@ -1 +1 @@
-"""Column -> Column functions; nothing here leaves the JVM."""
+"""Column -> Column functions. Figures, names and keys stay in the JVM; periods are read in Arrow batches."""

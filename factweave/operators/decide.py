@@ -24,7 +24,7 @@ def prepared(facts: DataFrame) -> DataFrame:
     raw = F.col("value_raw")
     return facts.withColumns({
         "name": S.normalize_surface(F.col("subject_surface")), "hard_key": F.nullif(F.col("subject_key"), F.lit("")), "words": F.when(F.col("value_kind") != "quantity", S.plain_words(raw)),
-        "day": F.when(F.col("value_kind") != "quantity", P.bare_date(raw)), "digits": N.written_digits(F.col("quantity.raw")),
+        "day": P.bare_date(F.when(F.col("value_kind") != "quantity", raw)), "digits": N.written_digits(F.col("quantity.raw")),
     })
 
 

@@ -81,8 +81,8 @@ def materialize(located: DataFrame, fiscal_ends: DataFrame | None = None) -> Dat
         F.when(S.subject_names_the_measurement(f["subject_surface"], F.col("_m.measure")), F.lit("subject_names_the_measurement")),
         F.when(f["value"]["scale"].isNull() & F.col("quantity.scale").isNotNull() & scale.isNull(), F.lit("scale_recovered_from_source")),
     ))
-    return rows.select(
+    return FA.with_qualifiers(rows, bag, F.coalesce(basis, F.create_map().cast("map<string,string>")), F.col("month")).select(
         S.fact_id(F.col("doc_id"), F.col("start"), F.col("end"), F.col("_m.measure")).alias("fact_id"), "doc_id", f["claim_text"].alias("claim_text"), f["subject_surface"].alias("subject_surface"), f["subject_key"].alias("subject_key"), f["predicate"].alias("predicate"),
-        F.col("_m.measure").alias("measure"), f["value"]["kind"].alias("value_kind"), f["value"]["raw"].alias("value_raw"), "quantity", FA.qualifier_bag(bag, F.coalesce(basis, F.create_map().cast("map<string,string>")), F.col("month")).alias("qualifiers"),
+        F.col("_m.measure").alias("measure"), f["value"]["kind"].alias("value_kind"), f["value"]["raw"].alias("value_raw"), "quantity", "qualifiers",
         S.subject_id(f["subject_surface"], f["subject_key"]).alias("subject_id"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.col("status").alias("align_status"), f["confidence"].alias("confidence"), flags.alias("flags"),
     )

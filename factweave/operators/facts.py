@@ -19,18 +19,16 @@ EVIDENCE = "page int, char_start bigint, char_end bigint"
 QUALIFIER = "struct<key:string,dim:string,value:string,provenance:string,plain:string,start:date,end:date,day:date,years:array<int>,known:boolean,separates:boolean>"
 
 
-def qualifier(key: Column, value: Column, provenance: Column, fiscal_end_month: Column | None = None) -> Column:
-    period = F.when(S.key_matches(key, S.PERIOD_KEYS), P.as_interval(value, fiscal_end_month))
-    return let(
-        F.struct(key.alias("key"), value.alias("value"), provenance.alias("provenance"), period.alias("p")),
-        lambda q: F.struct(
-            q["key"].alias("key"), S.dimension_of(q["key"]).alias("dim"), q["value"].alias("value"), q["provenance"].alias("provenance"), S.plain_words(q["value"]).alias("plain"), q["p"]["start"].alias("start"), q["p"]["end"].alias("end"),
-            P.bare_date(q["value"]).alias("day"), P.mentioned_years(q["value"]).alias("years"), S.key_matches(q["key"], S.DISCRIMINATING).alias("known"), (~S.key_matches(q["key"], S.NON_SEPARATING)).alias("separates"),
-        ),
+def qualifier(q: Column, said: Column) -> Column:
+    """A condition (key, value, provenance) with what its value says about time."""
+    period = F.when(S.key_matches(q["key"], S.PERIOD_KEYS), P.interval_of(said, q["value"]))
+    return F.struct(
+        q["key"].alias("key"), S.dimension_of(q["key"]).alias("dim"), q["value"].alias("value"), q["provenance"].alias("provenance"), S.plain_words(q["value"]).alias("plain"), period["start"].alias("start"), period["end"].alias("end"),
+        said["day"].alias("day"), said["years"].alias("years"), S.key_matches(q["key"], S.DISCRIMINATING).alias("known"), (~S.key_matches(q["key"], S.NON_SEPARATING)).alias("separates"),
     )
 
 
-def qualifier_bag(bag: Column, inherited: Column | None = None, fiscal_end_month: Column | None = None) -> Column:
+def known_conditions(bag: Column, inherited: Column | None = None) -> Column:
     """Known conditions sorted by key: blank and absent ones dropped; of keys that become one the last counts; inherited ones fill gaps only."""
     own = F.transform(F.map_entries(F.coalesce(bag, F.create_map().cast(BAG))), lambda e: F.struct(S.canonical_predicate(e["key"]).alias("key"), F.trim(e["value"]["value"]).alias("value"), F.coalesce(e["value"]["provenance"], F.lit("stated")).alias("provenance")))
     known = F.filter(own, lambda q: (q["key"] != "") & (q["value"] != "") & (q["provenance"] != "absent"))
@@ -38,7 +36,14 @@ def qualifier_bag(bag: Column, inherited: Column | None = None, fiscal_end_month
     if inherited is not None:
         more = F.transform(F.map_entries(inherited), lambda e: F.struct(S.canonical_predicate(e["key"]).alias("key"), F.trim(e["value"]).alias("value"), F.lit("inherited").alias("provenance")))
         last = let(last, lambda k: F.concat(k, F.filter(more, lambda q: (q["key"] != "") & (q["value"] != "") & ~F.exists(k, lambda r: r["key"] == q["key"]))))
-    return F.transform(F.array_sort(last), lambda q: qualifier(q["key"], q["value"], q["provenance"], fiscal_end_month))
+    return F.array_sort(last)
+
+
+def with_qualifiers(facts: DataFrame, bag: Column, inherited: Column | None = None, fiscal_end_month: Column | None = None) -> DataFrame:
+    """The facts with `qualifiers`: known conditions and what their values say about time; every different value of a batch is read once."""
+    kept = facts.withColumn("_kept", known_conditions(bag, inherited))
+    said = kept.withColumn("_said", P.labels(F.transform("_kept", lambda q: q["value"]), fiscal_end_month))
+    return said.withColumn("qualifiers", F.transform("_kept", lambda q, i: qualifier(q, F.get(F.col("_said"), i)))).drop("_kept", "_said")
 
 
 def quantity_of(value: Column, claim: Column, quote: Column | None = None, default_scale: Column | None = None, default_unit: Column | None = None) -> Column:
@@ -71,10 +76,10 @@ def comparable(facts: DataFrame) -> DataFrame:
     read = rows.withColumns({"value": F.from_json("value_json", VALUE), "evidence": F.from_json("evidence_json", EVIDENCE), "_m": S.split_consolidation(F.coalesce("predicate_canonical", "predicate"))})
     bag = F.from_json("qualifiers_json", BAG)
     basis = F.when(F.col("_m.basis").isNotNull(), F.map_from_arrays(F.array(F.lit("consolidation")), F.array(F.col("_m.basis"))))
-    return read.select(
+    return with_qualifiers(read, bag, F.coalesce(basis, F.create_map().cast("map<string,string>"))).select(
         "fact_id", "doc_id", "claim_text", "subject_surface", "subject_key", "predicate", F.col("_m.measure").alias("measure"), F.coalesce(F.col("value_kind"), F.col("value.kind")).alias("value_kind"), F.col("value.raw").alias("value_raw"),
         F.when(F.coalesce(F.col("value_kind"), F.col("value.kind")) == "quantity", quantity_of(F.col("value"), F.col("claim_text"))).alias("quantity"),
-        qualifier_bag(bag, F.coalesce(basis, F.create_map().cast("map<string,string>"))).alias("qualifiers"),
+        "qualifiers",
         S.subject_id(F.col("subject_surface"), F.col("subject_key")).alias("subject_id"),
         F.col("evidence.char_start").alias("char_start"), F.col("evidence.char_end").alias("char_end"), "align_status",
     )
@@ -96,8 +101,10 @@ def clear_mode(rows: DataFrame, by: str, value: str, least: int = 1) -> DataFram
 
 def fiscal_year_ends(documents: DataFrame) -> DataFrame:
     """(doc_id, month, n): the month that most of a document's `year ended <date>` statements name, where that is clear."""
-    months = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(P.YEAR_ENDED), F.lit(1))
-    said = documents.select("doc_id", F.explode(months).alias("m")).select("doc_id", P._word(F.col("m"), P.MONTHS).alias("month"))
+    ends = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"(?i)\byears?\s+end(?:ed|ing)\b(?=(.{8,34}))"), F.lit(1))
+    # the date must stand right there
+    dated = P.as_of_date(F.concat(F.lit("as on "), F.regexp_replace("m", r"(?i)^\s*on\b", "")))
+    said = documents.select("doc_id", F.explode(ends).alias("m")).select("doc_id", F.month(dated).alias("month"))
     return clear_mode(said, "doc_id", "month")
 
 

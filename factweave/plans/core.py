@@ -155,10 +155,10 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
     figure = F.round("o_totalprice").cast("long").cast("string")
     bag = F.map_filter(F.map_from_arrays(F.array(F.lit("period"), F.lit("segment")), F.array(F.concat(F.lit("CY"), F.year("o_orderdate").cast("string")), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))), lambda _, v: v.isNotNull())
     whole = F.transform_values(bag, lambda _, v: F.struct(v.alias("value"), F.lit("stated").alias("provenance")))
-    return t.select(
+    return FA.with_qualifiers(t, whole).select(
         F.format_string("%010d", "o_orderkey").alias("fact_id"), F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("subject_surface"), F.lit(None).cast("string").alias("subject_key"),
         F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("subject_id"), F.lit("order_total").alias("measure"), F.lit("quantity").alias("value_kind"), figure.alias("value_raw"),
-        N.parse_quantity(figure).alias("quantity"), FA.qualifier_bag(whole).alias("qualifiers"),
+        N.parse_quantity(figure).alias("quantity"), "qualifiers",
     )
 
 
