@@ -26,6 +26,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[sc.applicationId] = out
 
 
+def ship_active() -> None:
+    """ship for the session in use, where a column is made and no session is at hand."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); only where it is unset and the master is local, one of our own."""
     sc = spark.sparkContext
