@@ -1,13 +1,15 @@
-"""Locating quotes in texts: exactly near a place, exactly anywhere, with white space folded, or as the most similar window."""
+"""Locating quotes in texts: exactly near a place, exactly anywhere, with white space folded, or as the most similar window.
+
+The first three are expressions in the JVM; only quotes that none of them finds go to Python, with the part of the text that may hold them.
+"""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -43,67 +45,82 @@ def indel_similarity(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def best_window(needle: str, text: str) -> tuple[float, int, int]:
-    """(score, start, end) of the window about as long as the needle that is most similar; windows start at words that the needle has."""
-    words = {w for w in re.findall(r"\w+", needle.lower())}
-    starts = sorted({m.start() for m in re.finditer(r"\w+", text) if m.group().lower() in words})
-    best = (0.0, -1, -1)
-    for s in starts:
-        for extra in (-2, 0, 2):
-            e = min(len(text), s + len(needle) + extra)
-            score = indel_similarity(needle, text[s:e])
-            if score > best[0]:
-                best = (score, s, e)
+def nearest_end(needle: str, text: str) -> tuple[int, int]:
+    """(edits, end) of the substring with the fewest edits to the needle, by bit-parallel approximate search; any start is free."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        masks[c] = masks.get(c, 0) | 1 << i
+    every, top = (1 << len(needle)) - 1, 1 << len(needle) - 1
+    up, down, edits = every, 0, len(needle)
+    best = (edits, 0)
+    for j, c in enumerate(text, 1):
+        same = masks.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(across | up)), up & across
+        edits += bool(more & top) - bool(less & top)
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | (every & ~(same | down | more)), more & (same | down)
+        if edits < best[0]:
+            best = (edits, j)
     return best
 
 
-def locate(text: str, quote: str | None, near: tuple[int, int] | None = None, strict: bool = False) -> tuple[str, int, int, float]:
-    """(status, start, end, score): exact, fuzzy or unlocated (start and end -1). strict: only around `near`."""
-    quote = (quote or "").strip()
-    if not quote or not text:
-        return "unlocated", -1, -1, 0.0
-    lo, hi = (max(0, near[0] - MARGIN), min(len(text), near[1] + MARGIN)) if near else (0, len(text))
-    hit = text.find(quote, lo, hi)
-    if hit < 0 and not (strict and near):
-        hit = text.find(quote)
-    if hit >= 0:
-        return "exact", hit, hit + len(quote), 100.0
+def most_similar(quote: str, text: str) -> tuple[float, int, int]:
+    """(score, start, end) of the text's part that is most similar to the quote, white space folded in both; score 0 where none reaches LEAST_SCORE.
+
+    A part of that score has few edits, so the end comes from the search for the fewest; its starts are tried within as many places.
+    """
     plain, places = folded(text)
     needle = folded(quote)[0].strip()
-    a, b = bisect_left(places, lo), bisect_right(places, max(lo, hi - 1))
-    at = plain.find(needle, a, b)
-    if at < 0 and not (strict and near):
-        at = plain.find(needle)
-    if at >= 0:
-        return "exact", places[at], places[at + len(needle) - 1] + 1, 100.0
-    score, s, e = best_window(needle, plain[a:b])
-    if score < LEAST_SCORE:
-        return "unlocated", -1, -1, 0.0
-    return "fuzzy", places[a + s], places[min(a + e, len(places)) - 1] + 1, score
+    edits, end = nearest_end(needle, plain) if needle else (0, 0)
+    if not end or edits > (100 - LEAST_SCORE) / 50 * len(needle):
+        return 0.0, -1, -1
+    first = range(max(0, end - len(needle) - edits), min(end - 1, end - len(needle) + edits) + 1)
+    score, start = max(((indel_similarity(needle, plain[s:end]), s) for s in first), default=(0.0, -1))
+    return (score, places[start], places[end - 1] + 1) if score >= LEAST_SCORE else (0.0, -1, -1)
+
+
+def _exactly(text: Column, quote: Column) -> Column:
+    """struct(at, size) of the quote in the text, null where it isn't there."""
+    at = F.instr(text, quote)
+    return F.when(at > 0, F.struct((at - 1).cast("long").alias("at"), F.length(quote).cast("long").alias("size")))
+
+
+def _loosely(text: Column, quote: Column) -> Column:
+    """The same with any white space between the quote's words."""
+    words = F.transform(F.split(F.trim(F.regexp_replace(quote, r"(?U)\s+", " ")), " "), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?U)"), F.array_join(words, r"\s+"))
+    found = F.call_function("regexp_extract", text, pattern, F.lit(0))
+    before = F.get(F.call_function("split", text, pattern, F.lit(2)), F.lit(0))
+    return F.when(F.length(found) > 0, F.struct(F.length(before).cast("long").alias("at"), F.length(found).cast("long").alias("size")))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [most_similar(q or "", t or "") for q, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        moved = [(s, a + o, b + o) if a >= 0 else (0.0, -1, -1) for (s, a, b), o in zip(found, batch.column(3).to_pylist())]
+        columns = [pa.array(["fuzzy" if m[1] >= 0 else "unlocated" for m in moved], pa.string()), *(pa.array([m[i] for m in moved], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (0, pa.float64())))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["quote_id", "status", "start", "end", "score"])
 
 
 def align(quotes: DataFrame, documents: DataFrame, *, strict: bool = False) -> DataFrame:
     """quotes (quote_id, doc_id, quote[, near_start, near_end]) with status, start, end and score.
 
-    The exact step is an expression in the JVM; only quotes that it doesn't find go through Python. Quotes of unknown documents and blank ones are unlocated.
+    A quote is sought near its place first, then, unless `strict`, in the whole text; the most similar part is sought near the place where there is
+    one. Quotes of unknown documents and blank ones are unlocated.
     """
     ship(quotes.sparkSession)
     near = all(c in quotes.columns for c in ("near_start", "near_end"))
-    lo, hi = (F.col("near_start"), F.col("near_end")) if near else (F.lit(None).cast("long"), F.lit(None).cast("long"))
-    met = quotes.select("quote_id", "doc_id", "quote", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).join(documents.select("doc_id", "text"), "doc_id", "left")
-    quote = F.trim("quote")
-    begin = F.greatest(F.lit(0), F.coalesce("lo", F.lit(0)) - MARGIN)
-    window = F.when(F.col("lo").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), (begin + 1).cast("int"), (F.col("hi") + MARGIN - begin).cast("int")))
-    hit = F.instr(window, quote)
-    placed = met.withColumn("at", F.when((quote != "") & (hit > 0), F.when(F.col("lo").isNull(), F.lit(0)).otherwise(begin) + hit - 1))
-    exact = placed.where("at is not null").select("quote_id", F.lit("exact").alias("status"), F.col("at").cast("long").alias("start"), (F.col("at") + F.length(quote)).cast("long").alias("end"), F.lit(100.0).alias("score"))
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            q, t, lows, highs = (b.column(i).to_pylist() for i in range(1, 5))
-            found = [locate(x or "", y, None if lo is None else (lo, hi), strict) for y, x, lo, hi in zip(q, t, lows, highs)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], ty) for k, ty in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64())))], ["quote_id", "status", "start", "end", "score"])
-
+    lo, hi = (F.col("near_start"), F.col("near_end")) if near else (F.lit(None), F.lit(None))
+    met = quotes.select("quote_id", "doc_id", F.trim("quote").alias("quote"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).join(documents.select("doc_id", "text"), "doc_id", "left")
+    begin = F.when(F.col("lo").isNull(), F.lit(0)).otherwise(F.greatest(F.col("lo") - MARGIN, F.lit(0))).cast("int")
+    window = F.when(F.col("lo").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), begin + 1, (F.col("hi") + MARGIN - begin).cast("int")))
+    sought = met.select("quote_id", "quote", begin.alias("begin"), window.alias("window"), F.when(F.col("lo").isNotNull() & F.lit(not strict), F.col("text")).alias("whole"))
+    quote, inside, whole = F.col("quote"), F.col("window"), F.col("whole")
+    shifted = lambda found: F.when(found.isNotNull(), F.struct((found["at"] + F.col("begin")).alias("at"), found["size"].alias("size")))
+    steps = [shifted(_exactly(inside, quote)), _exactly(whole, quote), shifted(_loosely(inside, quote)), _loosely(whole, quote)]
+    placed = sought.withColumn("found", F.when(quote != "", F.coalesce(*steps))).select("quote_id", "quote", "begin", "window", "found")
+    exact = placed.where("found is not null").select("quote_id", F.lit("exact").alias("status"), F.col("found.at").alias("start"), F.expr("found.at + found.size").alias("end"), F.lit(100.0).alias("score"))
     kind = quotes.schema["quote_id"].dataType.simpleString()
-    rest = placed.where("at is null").select("quote_id", "quote", "text", "lo", "hi").mapInArrow(run, f"quote_id {kind}, status string, start bigint, end bigint, score double")
+    rest = placed.where("found is null").select("quote_id", "quote", "window", "begin").mapInArrow(_similar, f"quote_id {kind}, status string, start bigint, end bigint, score double")
     return exact.unionByName(rest)

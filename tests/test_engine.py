@@ -171,14 +171,17 @@ def test_text_structure(spark):
 
 def test_alignment(spark):
     text = "Notes\nRevenue from services*\n81,415.38\t72,236.47\nTotal   revenue\n"
-    assert align.locate(text, "81,415.38")[0] == "exact"
-    status, a, b, _ = align.locate(text, "Revenue from services* 81,415.38")
-    assert status == "exact" and text[a:b] == "Revenue from services*\n81,415.38"
-    assert align.locate(text, "Total revenue")[0] == "exact" and align.locate(text, "Revenue from service 81,415.38")[0] in ("exact", "fuzzy")
-    assert align.locate(text, "something else entirely unrelated")[1] == -1 and align.locate(text, " ")[0] == "unlocated" and align.locate("a" * 5000 + "needle", "needle", (0, 10), True)[0] == "unlocated"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    quotes = spark.createDataFrame([("q1", 1, "Total   revenue"), ("q2", 1, "Total revenue"), ("q3", 2, "x"), ("q4", 1, None)], "quote_id string, doc_id long, quote string")
-    assert {r.quote_id: r.status for r in align.align(quotes, docs).collect()} == {"q1": "exact", "q2": "exact", "q3": "unlocated", "q4": "unlocated"}
+    docs = spark.createDataFrame([(1, text), (3, "a" * 5000 + "needle"), (4, "🚢 One\n two \\E three"), (5, None)], "doc_id long, text string")
+    cases = [
+        ("81,415.38", 1, None, "exact"), ("Revenue from services* 81,415.38", 1, None, "exact"), ("Total revenue", 1, None, "exact"), ("Total   revenue", 1, None, "exact"), ("Revenue from service 81,415.38", 1, None, "fuzzy"), ("Revnue form services* 81,415.38", 1, None, "fuzzy"),
+        ("something else entirely unrelated", 1, None, "unlocated"), (" ", 1, None, "unlocated"), (None, 1, None, "unlocated"), ("x", 2, None, "unlocated"), ("needle", 3, 0, "exact"), ("One two \\E  three", 4, None, "exact"), ("x", 5, None, "unlocated"),
+    ]
+    quotes = spark.createDataFrame([(i, d, q, n, n and n + 10) for i, (q, d, n, _) in enumerate(cases)], "quote_id int, doc_id long, quote string, near_start long, near_end long")
+    got = {r.quote_id: r for r in align.align(quotes, docs).collect()}
+    assert {i: r.status for i, r in got.items()} == {i: c[3] for i, c in enumerate(cases)}
+    assert text[got[1].start : got[1].end] == "Revenue from services*\n81,415.38" and text[got[5].start : got[5].end] == "Revenue from services*\n81,415.38" and (got[11].start, got[11].end) == (2, 19)
+    near = {r.quote_id: r.status for r in align.align(quotes, docs, strict=True).collect()}
+    assert near[10] == "unlocated" and near[1] == "exact"
 
 
 def test_unlocated_claims_are_sought_in_the_whole_text(spark, monkeypatch):
