@@ -75,4 +75,6 @@ def heavy_keys(facts: DataFrame, documents: DataFrame, key: str = "comparison_ke
     counted = eager_join_aggregate(
         facts.select("doc_id", key, F.lit(1).alias("one")), documents.select("doc_id").distinct(), on="doc_id", by=[key], carried={"n_deliveries": "one"}
     )
-    return counted.where(F.col(key).isNotNull() & (F.col("n_deliveries") >= F.lit(share) * F.lit(facts.count()))).select(key, "n_deliveries")
+    total = facts.agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
+    met = counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # a row
+    return met.where(F.col(key).isNotNull() & (F.col("n_deliveries") >= F.lit(share) * F.col("_all"))).select(key, "n_deliveries")

@@ -5,14 +5,14 @@ No model is called here: a request whose answer is not in the cache table is cou
 
 from __future__ import annotations
 
-import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..session import ship_active
 from . import facts as FA
 from .align import align
 
@@ -25,18 +25,32 @@ SCALE_KEYS, UNIT_KEYS = ("scale", "magnitude"), ("currency", "unit", "units")
 
 
 def request_key(payload: Column) -> Column:
-    """SHA-256 of a JSON payload in canonical form: sorted keys, no blanks, ASCII."""
+    """SHA-256 of a JSON payload in canonical form: sorted keys, no blanks, ASCII; null for null. Only the sorting leaves the JVM."""
+    ship_active()
 
-    @F.pandas_udf("string")
-    def key(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            return hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
+    def canonical(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=True) for t in texts.to_pylist()], pa.string())
 
-        return texts.map(one)
+    return F.sha2(F.arrow_udf(canonical, "string")(payload), 256)
 
-    return key(payload)
+
+#: What an extraction request asks for, and what a judge is asked about two facts; the passages and claims follow.
+EXTRACT_PROMPT = "List every fact that the numbered passages state, each with the words that state it and the number of its passage."
+JUDGE_PROMPT = "Two statements about one measure of one subject disagree. Say whether they contradict each other or which condition accounts for the difference."
+
+
+def extraction_prompt(passages: Column) -> Column:
+    """The prompt over an array of struct(passage_id, context), in their order."""
+    return F.concat_ws("\n\n", F.lit(EXTRACT_PROMPT), F.array_join(F.transform(passages, lambda p: F.concat(F.lit("["), p["passage_id"].cast("string"), F.lit("] "), p["context"])), "\n\n"))
+
+
+def judge_prompt(first: Column, second: Column, keys: Column) -> Column:
+    """The prompt about a pair, in the order given, with the conditions that either fact has."""
+    return F.concat_ws("\n", F.lit(JUDGE_PROMPT), F.concat(F.lit("A: "), first), F.concat(F.lit("B: "), second), F.concat(F.lit("Conditions: "), F.array_join(F.array_sort(F.array_distinct(keys)), ", ")))
+
+
+def request_payload(model: str, prompt: Column) -> Column:
+    return F.to_json(F.struct(F.lit(model).alias("model"), F.lit(0).alias("temperature"), prompt.alias("prompt")))
 
 
 def answers(requests: DataFrame, cache: DataFrame, schema: str = ANSWER) -> DataFrame:

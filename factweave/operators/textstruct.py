@@ -24,10 +24,17 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def page_of(offsets: DataFrame, pages: DataFrame, id_col: str = "doc_id", offset_col: str = "offset") -> DataFrame:
-    """offsets with page: the page [start, end) that holds the offset, else the document's last one, 0 without pages."""
-    last = pages.groupBy(id_col).agg(F.max("page").alias("_last"))
-    inside = offsets.join(pages.select(F.col(id_col).alias("_d"), "page", F.col("start").alias("_s"), F.col("end").alias("_e")), (F.col(id_col) == F.col("_d")) & (F.col("_s") <= F.col(offset_col)) & (F.col(offset_col) < F.col("_e")), "left")
-    return inside.drop("_d", "_s", "_e").join(last, id_col, "left").withColumn("page", F.coalesce("page", "_last", F.lit(0))).drop("_last")
+    """offsets with page: the page [start, end) that holds the offset (of overlapping ones the last begun), else the document's last one, 0 without pages.
+
+    An as-of join by one window over both tables: the last page begun at an offset.
+    """
+    marked = offsets.withColumn("_point", F.lit(True)).unionByName(
+        pages.select(id_col, F.col("start").cast("long").alias(offset_col), F.struct(F.col("page").alias("page"), F.col("end").cast("long").alias("end")).alias("_page")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(id_col).orderBy(offset_col, F.col("_point").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = marked.withColumn("_begun", F.last("_page", ignorenulls=True).over(w)).withColumn("_last", F.max("_page.page").over(Window.partitionBy(id_col))).where("_point")
+    holds = F.when(F.col("_begun.end") > F.col(offset_col), F.col("_begun.page"))
+    return seen.withColumn("page", F.coalesce(holds, "_last", F.lit(0))).drop("_point", "_page", "_begun", "_last")
 
 
 def body_size(of: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -56,11 +63,14 @@ def page_frames(of: DataFrame, found: DataFrame, unit: str, group: str) -> DataF
 
 
 def bullet_starts(of: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Lines with bulleted: they begin with a bullet, or the line before on the same page is one, at most 6 points away where y is known."""
+    """Lines with bulleted: they begin with a bullet glyph, or the line before on the same page is nothing else, at most 6 points away where y is known.
+
+    A hyphen is no bullet: a line that is nothing but a hyphen is a table's nil.
+    """
     w = Window.partitionBy(id_col).orderBy("line_no")
     page, y = (F.col(c) if c in of.columns else F.lit(None).cast("double") for c in ("page", "y"))
     text = F.trim("text")
-    own = F.rlike(text, F.lit(f"^[{S.BULLETS}-]\\s*\\S"))
+    own = S.is_bullet(F.substring(text, 1, 1)) & (F.length(text) > 1)
     before = S.is_bullet(F.trim(F.lag("text").over(w))) & F.lag(page).over(w).eqNullSafe(page) & F.coalesce(F.abs(F.lag(y).over(w) - y) <= 6.0, F.lit(True))
     return of.withColumn("bulleted", F.coalesce(own | before, F.lit(False)))
 
@@ -138,9 +148,9 @@ def windows(starts: list[int], ends: list[int], pages: list[int], target: int, o
 
 
 def chunk_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(id_col, chunk_no, char_start, char_end, text): overlapping windows of whole lines, cut where each document is read.
+    """(id_col, chunk_no, char_start, char_end, text, pages): overlapping windows of whole lines, cut where each document is read.
 
-    The window after the next depends on where the last one ended, so a document is walked in one piece; no shuffle is needed for that.
+    A form feed begins a page; a window spans CHUNK_PAGES page breaks at most. The window after the next depends on where the last one ended, so a document is walked in one piece; no shuffle is needed for that.
     """
     ship(documents.sparkSession)
 
@@ -148,18 +158,20 @@ def chunk_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans, at = [], 0
+                spans, at, page = [], 0, 1
                 for line in (text or "").split("\n"):
+                    page += line.startswith("\f")
                     if line.strip():
-                        spans.append((at, at + len(line)))
+                        spans.append((at, at + len(line), page))
+                    page += line.count("\f", 1)
                     at += len(line) + 1
-                cuts = windows([a for a, _ in spans], [b for _, b in spans], [0] * len(spans), target, overlap, CHUNK_PAGES)
-                out += [(key, i, spans[a][0], spans[b][1], text[spans[a][0] : spans[b][1]]) for i, (a, b) in enumerate(cuts)]
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], [id_col, "chunk_no", "char_start", "char_end", "text"])
+                cuts = windows([a for a, _, _ in spans], [b for _, b, _ in spans], [p for _, _, p in spans], target, overlap, CHUNK_PAGES)
+                out += [(key, i, spans[a][0], spans[b][1], text[spans[a][0] : spans[b][1]], list(range(spans[a][2], spans[b][2] + 1))) for i, (a, b) in enumerate(cuts)]
+            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], [id_col, "chunk_no", "char_start", "char_end", "text", "pages"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_no int, char_start bigint, char_end bigint, text string")
+    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_no int, char_start bigint, char_end bigint, text string, pages array<int>")
 
 
 def context_text(path: Column, frame: Column, text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Incremental ingest: micro-batches of facts folded into the ledger, with the whole corpus compared again where measures were touched."""
+"""Incremental ingest: micro-batches of facts folded into the ledger; fresh facts meet all facts of their keys, others don't meet again."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ def ingest_batch(batch: DataFrame, root: str) -> None:
     """Stores the batch's facts and replaces the relations that touch them; relations of other facts stay. Idempotent for a batch."""
     fresh = cut(FA.comparable(batch))
     ledger.upsert(fresh, f"{root}/facts", ["fact_id"])
-    facts = ledger.loadable(batch.sparkSession.read.parquet(f"{root}/facts"))
-    pairs = blocking.only_touching(blocking.apart(blocking.exact_key_pairs(facts), facts), fresh)
+    facts = ledger.loadable(ledger.read(batch.sparkSession, f"{root}/facts"))
+    pairs = blocking.apart(blocking.touching_key_pairs(facts, ledger.loadable(fresh)), facts)
     made = decide.relations(pairs, facts, keep_unrelated=False).drop("missing_keys")
     ids = fresh.select("fact_id")
     old = ledger.read(batch.sparkSession, f"{root}/relations", made)

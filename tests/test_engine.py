@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 from fractions import Fraction
 
 import pytest
@@ -169,6 +170,18 @@ def test_text_structure(spark):
     assert textstruct.page_frames(same, found, "page", "doc_id").count() == 4
 
 
+def test_bullets_and_pages(spark):
+    rows = [(0, "•", 100.0), (1, "Express Parcel", 101.0), (2, "-", 110.0), (3, "Nil row", 111.0), (4, "\uf09f", 120.0), (5, "Supply Chain", 121.0), (6, "•", 130.0), (7, "Far away", 400.0), (8, "▪ Inline item", 410.0), (9, "- dash item", 420.0)]
+    of = spark.createDataFrame([(1, n, t, y, 1) for n, t, y in rows], "doc_id long, line_no int, text string, y double, page int")
+    assert {r.line_no for r in textstruct.bullet_starts(of).where("bulleted").collect()} == {1, 5, 8}
+    pages = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 10, 20), (3, 7, 5, 9)], "doc_id long, page int, start long, end long")
+    at = spark.createDataFrame([(1, 0), (1, 9), (1, 10), (1, 99), (2, 3), (3, 1)], "doc_id long, offset long")
+    assert {(r.doc_id, r.offset): r.page for r in textstruct.page_of(at, pages).collect()} == {(1, 0): 1, (1, 9): 1, (1, 10): 2, (1, 99): 2, (2, 3): 0, (3, 1): 7}
+    docs = spark.createDataFrame([(1, "\f".join(f"page {i}\n" for i in range(1, 7))), (2, None)], "doc_id long, text string")
+    cut_up = textstruct.chunk_texts(docs).orderBy("chunk_no").collect()
+    assert cut_up[0].pages == [1, 2, 3] and cut_up[-1].pages[-1] == 6
+
+
 def test_alignment(spark):
     text = "Notes\nRevenue from services*\n81,415.38\t72,236.47\nTotal   revenue\n"
     docs = spark.createDataFrame([(1, text), (3, "a" * 5000 + "needle"), (4, "🚢 One\n two \\E three"), (5, None)], "doc_id long, text string")
@@ -253,6 +266,22 @@ def test_ledger(spark, tmp_path):
     assert {(r.fact_b, r.v) for r in ledger.read(spark, rel).collect()} == {("b", 2), ("c", 1)}
     ledger.save_relations(spark.createDataFrame([("a", "b", 3)], "fact_a string, fact_b string, v int"), rel, replace=True)
     assert ledger.read(spark, rel).count() == 1
+    assert len([n for n in os.listdir(rel) if n != "CURRENT" and not n.startswith(".")]) == 2  # this version and the one before
+    entries = "canonical string, aliases_json string, embedding array<float>, first_seen_doc long, seen_count long"
+    reg = f"{tmp_path}/registry"
+    ledger.save_registry(spark.createDataFrame([("b", "[]", None, 1, 1), ("a", '["x"]', [0.5], 2, 3)], entries), reg)
+    ledger.save_registry(spark.createDataFrame([("b", '["y"]', [1.0], 9, 4)], entries), reg)
+    assert ledger.load_registry(spark, reg) == [("a", ["x"], [0.5], 2, 3), ("b", ["y"], [1.0], 1, 4)]
+    ev = f"{tmp_path}/events"
+    for rows in ([(2, 0, "b"), (1, 1, "a2"), (1, 0, "a1")], [(1, 0, "later")]):
+        ledger.append_events(spark.createDataFrame(rows, "doc_id long, no int, subject string"), ev)
+    assert [r.subject for r in ledger.read(spark, ev).orderBy("event_id").collect()] == ["a1", "a2", "b", "later"]
+    ledger.save_quarantine(spark.createDataFrame([("q1", "x"), ("q1", "x")], "quarantine_id string, quote string"), f"{tmp_path}/quarantine")
+    assert ledger.read(spark, f"{tmp_path}/quarantine").count() == 1
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "one.txt").write_text("a\nb")
+    named = spark.createDataFrame([(1, "data\\work\\one.txt"), (2, "/x/two.txt"), (3, None)], "doc_id long, text_path string")
+    assert {r.doc_id: r.text for r in ledger.document_texts(named, f"{tmp_path}/texts").collect()} == {1: "a\nb", 2: None, 3: None}
     docs = f"{tmp_path}/docs"
     ledger.save_documents(spark.createDataFrame([(1, "h", "x")], "doc_id long, sha256 string, filename string"), docs)
     ledger.save_documents(spark.createDataFrame([(9, "h", "y")], "doc_id long, sha256 string, filename string"), docs)
@@ -269,7 +298,7 @@ def test_streaming_ingest(spark, tmp_path):
         q = ingest.ingest_stream(spark, f"{tmp_path}/in/*", df.schema, f"{tmp_path}/ledger", f"{tmp_path}/cp")
         q.awaitTermination()
         df.where("doc_id = 3").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in/2")
-    assert spark.read.parquet(f"{tmp_path}/ledger/facts").count() == 5 and spark.read.parquet(f"{tmp_path}/ledger/relations").count() == 6
+    assert ledger.read(spark, f"{tmp_path}/ledger/facts").count() == 5 and ledger.read(spark, f"{tmp_path}/ledger/relations").count() == 6
 
 
 def test_catalogue():
