@@ -150,10 +150,16 @@ def is_bullet(c: Column) -> Column:
     return F.rlike(c, F.lit(f"^[{BULLETS}-]{{1,2}}$"))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def heading_shaped(c: Column) -> Column:
-    """At most 80 characters and 12 words, with a letter, and not ending like a sentence."""
-    words = F.size(F.filter(F.split(F.trim(c), r"(?U)\s+"), lambda w: w != ""))
-    return (F.length(c) <= 80) & (words <= 12) & F.rlike(c, F.lit(r"\p{L}")) & ~F.rlike(c, F.lit(r"[.,;:]$"))
+    """At most 80 characters and 12 words, with a letter, and not ending like a sentence; white space at the ends doesn't count."""
+    text = stripped(c)
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return (F.length(text) <= 80) & (words <= 12) & F.rlike(text, F.lit(r"\p{L}")) & ~F.rlike(text, F.lit(r"[.,;:]\z"))
 
 
 def scope_label(c: Column) -> Column:

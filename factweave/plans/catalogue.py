@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, core_sql, data
+from . import core, core_sql, data, views
 
-QUERIES = core.QUERIES | data.QUERIES
-SQL = core_sql.SQL | data.SQL
+QUERIES = core.QUERIES | views.QUERIES | data.QUERIES
+SQL = core_sql.SQL | views.SQL | data.SQL

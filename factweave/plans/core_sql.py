@@ -150,6 +150,15 @@ SQL = {
         o AS (SELECT *, CASE WHEN verdict <> 'contradicts' THEN NULL WHEN bad THEN 'hallucinated_qualifier_rejected' WHEN verdict <> rv THEN 'judge_inconsistent' ELSE 'llm_adjudicated' END AS outcome FROM r)
         SELECT CASE WHEN outcome IN ('hallucinated_qualifier_rejected', 'judge_inconsistent') THEN 'insufficient_context' ELSE verdict END AS verdict, coalesce(outcome, rule_fired) AS rule_fired,
                CASE WHEN outcome = 'llm_adjudicated' OR verdict = 'reconciled_by_context' THEN 'llm' ELSE 'deterministic' END AS decided_by, count(*) AS n FROM o GROUP BY 1, 2, 3""",
+    "adjudication_rates": f"""
+        WITH {_RELATIONS}, {_ONCE}, k AS (SELECT fact_id, json_keys(qualifiers_json) AS ks FROM once),
+        r AS (SELECT rel.*, CASE WHEN rule_fired = 'same_context_disjoint_intervals' THEN verdict ELSE 'unrelated' END AS rv,
+                     coalesce(NOT list_contains(list_concat(coalesce(a.ks, []), coalesce(b.ks, [])), qualifier_key), false) AS bad
+              FROM rel LEFT JOIN k a ON a.fact_id = fact_a LEFT JOIN k b ON b.fact_id = fact_b),
+        o AS (SELECT *, CASE WHEN verdict <> 'contradicts' THEN NULL WHEN bad THEN 'hallucinated_qualifier_rejected' WHEN verdict <> rv THEN 'judge_inconsistent' ELSE 'llm_adjudicated' END AS outcome FROM r)
+        SELECT CAST(count(outcome) AS BIGINT) AS adjudicated, count(*) FILTER (outcome = 'llm_adjudicated') AS upheld, count(*) FILTER (outcome <> 'llm_adjudicated') AS downgraded,
+               round(CASE WHEN count(*) FILTER (outcome <> 'hallucinated_qualifier_rejected') = 0 THEN 0.0 ELSE count(*) FILTER (outcome = 'llm_adjudicated') / count(*) FILTER (outcome <> 'hallucinated_qualifier_rejected') END, 4) AS self_consistency_rate,
+               round(CASE WHEN count(outcome) = 0 THEN 0.0 ELSE count(*) FILTER (outcome = 'hallucinated_qualifier_rejected') / count(outcome) END, 4) AS rejection_rate FROM o""",
     "facts_search": f"""
         WITH {_ONCE} SELECT fact_id, doc_id, page FROM once WHERE coalesce(align_status, '') <> 'unlocated'
           AND (coalesce(claim_text ILIKE '%revenue%', false) OR coalesce(subject_surface ILIKE '%revenue%', false) OR coalesce(predicate ILIKE '%revenue%', false)) ORDER BY doc_id, page NULLS FIRST, fact_id LIMIT 100""",
