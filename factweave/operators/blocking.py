@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,68 +57,95 @@ def magnitude_pairs(facts: DataFrame, width: float = BAND_WIDTH, window: int = B
     return met.select("fact_a", "fact_b").distinct()
 
 
-def similarity(a: str, b: str):
-    """Cosine of two array columns, 0 with a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    x, y = F.col(a), F.col(b)
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norm > 0, dot(x, y) / norm).otherwise(F.lit(0.0))
+def _unit(table: pa.Table) -> tuple[list, np.ndarray]:
+    """Ids and vectors of length 1, in the order of the ids; vectors without length stay so."""
+    table = table.sort_by("id")
+    flat = pa.concat_arrays([c.flatten() for c in table["vector"].chunks]) if table.num_rows else pa.array([], pa.float64())
+    x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return table["id"].to_pylist(), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = NEIGHBOURS, least: float = 0.0, block: int = 5_000) -> DataFrame:
-    """(query, neighbour, similarity, rank): exact nearest neighbours of a stated query set against all vectors, itself left out; ties by id.
-
-    Queries come in hashed blocks of about `block`, and an equi-join on the block meets each with every vector once. For every vector as
-    a query use a graph index instead.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
-    all_ = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    met = all_.join(q, "_block").where(F.col("neighbour") != F.col("query"))
-    scored = met.withColumn("similarity", similarity("_q", "_v")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def nearest(ids: list[str], unit: np.ndarray, asked: np.ndarray, k: int, least: float = 0.0) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, places of its k nearest) for each asked place; unit: vectors of length 1 in the order of their ids, which breaks ties."""
+def nearest(ids: list, unit: np.ndarray, asked_ids: list, asked: np.ndarray, k: int, least: float = 0.0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, places, similarities) of the k nearest of each asked vector, itself left out; ids in order break ties."""
+    if not len(ids) or not len(asked_ids):
+        return
+    place = {x: i for i, x in enumerate(ids)}
     step = max(1, 8_000_000 // len(ids))
     for at in range(0, len(asked), step):
-        block = asked[at : at + step]
-        sim = np.round(unit[block] @ unit.T, 9)
-        sim[np.arange(len(block)), block] = -2.0
-        bar = np.partition(sim, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-        for r, place in enumerate(block):
+        sim = np.round(asked[at : at + step] @ unit.T, 9)
+        for r in range(len(sim)):
+            if (own := place.get(asked_ids[at + r])) is not None:
+                sim[r, own] = -2.0
+        n = min(k, len(ids))
+        bar = np.partition(sim, -n, axis=1)[:, -n]
+        for r in range(len(sim)):
             near = np.flatnonzero(sim[r] >= max(bar[r], least))
-            yield int(place), near[np.argsort(-sim[r][near], kind="stable")][:k]
+            near = near[np.argsort(-sim[r][near], kind="stable")][:k]
+            yield at + r, near, sim[r][near]
+
+
+def _found(query: list, other: list, found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b, c = [], [], []
+    for i, near, sims in found:
+        a += [query[i]] * len(near)
+        b += [other[j] for j in near]
+        c += sims.tolist()
+    return pa.table({"query": a, "neighbour": b, "similarity": pa.array(c, pa.float64())})
 
 
-def semantic_pairs(vectors: DataFrame, k: int = NEIGHBOURS, block: int = 50_000) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = NEIGHBOURS, least: float = 0.0, vector_block: int = 200_000, query_block: int = 5_000) -> DataFrame:
+    """(query, neighbour, similarity, rank): exact nearest neighbours of a stated query set against all vectors, itself left out; ties by id.
+
+    Hashed blocks of queries meet hashed blocks of vectors as matrix products, so that a task holds a block of each; the best of every
+    block are ranked again. Vectors without length are similar to nothing (0). For every vector as a query use a graph index instead.
+    """
+    ship(vectors.sparkSession)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n, m = vectors.count(), queries.count()
+    nv, nq = max(-(-n // vector_block), min(cores, -(-n // 1_000)), 1), max(1, -(-m // query_block))
+    each = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+    of = lambda df: df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    v = of(vectors).withColumn("bv", F.pmod(F.xxhash64("id"), F.lit(nv))).withColumn("bq", each(nq))
+    q = of(queries).withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("bv", each(nv))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids, x), (asked, y) = _unit(left), _unit(right)
+        return _found(asked, ids, nearest(ids, x, asked, y, k, least)).cast(schema)
+
+    one = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    schema = pa.schema([("query", one), ("neighbour", one), ("similarity", pa.float64())])
+    found = v.groupBy("bv", "bq").cogroup(q.select(*(F.col(c).alias(c) for c in ("id", "vector", "bv", "bq"))).groupBy("bv", "bq")).applyInArrow(run, f"query {kind}, neighbour {kind}, similarity double")
+    return _best(found, k).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def semantic_pairs(vectors: DataFrame, k: int = NEIGHBOURS, block: int = 200_000) -> DataFrame:
     """(fact_a, fact_b): every fact of vectors (fact_id, embedding_model, embedding) with its k exact nearest ones of one model and width.
 
-    Both directions count once. Vectors without length and facts without vector pair with nothing. Queries come in hashed blocks, each of
-    which meets all vectors of its model: the work grows with the square of a model's facts.
+    Both directions count once. Vectors without length and facts without vector pair with nothing. Vectors come in hashed blocks; every two
+    blocks of a model meet once, for the queries of both, so that a task holds two blocks, and the best of every block are ranked
+    again. The work grows with the square of a model's facts.
     """
     ship(vectors.sparkSession)
-    v = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select("fact_id", "embedding", F.concat_ws("/", F.coalesce("embedding_model", F.lit("")), F.size("embedding")).alias("space"))
-    blocks = v.groupBy("space").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = v.join(F.broadcast(blocks), "space").select("space", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int").alias("own"), "fact_id", "embedding")
+    v = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select(F.col("fact_id").alias("id"), F.col("embedding").alias("vector"), F.concat_ws("/", F.coalesce("embedding_model", F.lit("")), F.size("embedding")).alias("space"))
+    blocks = v.groupBy("space").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each model and width
+    placed = v.join(blocks, "space").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.select("space", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "id", "vector")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("fact_id")
-        ids = t["fact_id"].to_pylist()
-        flat = pa.concat_arrays([c.flatten() for c in t["embedding"].chunks])
-        x = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        mine = np.flatnonzero(t["own"].to_numpy() == t["part"][0].as_py())
-        a, b = [], []
-        for i, near in nearest(ids, x, mine, k):
-            for j in near:
-                a.append(ids[min(i, j)])
-                b.append(ids[max(i, j)])
-        return pa.table({"fact_a": pa.array(a, pa.string()), "fact_b": pa.array(b, pa.string())})
-
-    return rows.groupBy("space", "part").applyInArrow(run, "fact_a string, fact_b string").distinct()
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        (ids, x), (more, y) = (_unit(t.filter(pc.equal(t["own"], b))) for b in (lo, hi))
+        parts = [_found(ids, more, nearest(more, y, ids, x, k))] + ([_found(more, ids, nearest(ids, x, more, y, k))] if lo != hi else [])
+        return pa.concat_tables(p.cast(pa.schema([("query", pa.string()), ("neighbour", pa.string()), ("similarity", pa.float64())])) for p in parts)
+
+    found = rows.groupBy("space", "lo", "hi").applyInArrow(run, "query string, neighbour string, similarity double")
+    return _best(found, k).select(F.least("query", "neighbour").alias("fact_a"), F.greatest("query", "neighbour").alias("fact_b")).distinct()
 
 
 def key_classes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,8 +194,8 @@ def apart(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 def only_touching(pairs: DataFrame, fresh: DataFrame) -> DataFrame:
     """Pairs with at least one fact of `fresh` (fact_id)."""
     ids = fresh.select(F.col("fact_id").alias("_id")).distinct()
-    a = pairs.join(ids, F.col("fact_a") == F.col("_id"), "left_semi")
-    return a.unionByName(pairs.join(ids, F.col("fact_b") == F.col("_id"), "left_semi")).distinct() if "blocked_by" not in pairs.columns else a.unionByName(pairs.join(ids, F.col("fact_b") == F.col("_id"), "left_semi")).dropDuplicates(["fact_a", "fact_b"])
+    marked = lambda df, x: df.join(ids.select(F.col("_id").alias(f"fact_{x}"), F.lit(True).alias(f"_{x}")), f"fact_{x}", "left")
+    return marked(marked(pairs, "a"), "b").where("_a or _b").select(*pairs.columns)
 
 
 def statistics(pairs: DataFrame, n_facts: DataFrame) -> DataFrame:

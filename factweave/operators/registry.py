@@ -45,16 +45,22 @@ class Registry:
     def __init__(self, entries: list[tuple[str, list[str]]] = (), encode: Callable[[str], np.ndarray] = hashed_words, confirm: Callable[[str, str], bool] | None = None, threshold: float = THRESHOLD):
         self.encode, self.confirm, self.threshold = encode, confirm, threshold
         self.names: list[str] = []
-        self.vectors = np.empty((0, len(encode("x"))))
+        self._vectors = np.empty((64, len(encode("x"))))  # room for more, doubled when it is full
         self.of: dict[str, str] = {}
         self.counts: dict[str, int] = {}
         for canonical, aliases in entries:
             self._add(canonical)
             self.of.update(dict.fromkeys(aliases, canonical))
 
+    @property
+    def vectors(self) -> np.ndarray:
+        return self._vectors[: len(self.names)]
+
     def _add(self, name: str) -> None:
+        if len(self.names) == len(self._vectors):
+            self._vectors = np.concatenate([self._vectors, np.empty_like(self._vectors)])
+        self._vectors[len(self.names)] = self.encode(name)
         self.names.append(name)
-        self.vectors = np.vstack([self.vectors, self.encode(name)])
         self.of[name] = name
         self.counts[name] = self.counts.get(name, 0) + 1
 

@@ -122,10 +122,15 @@ def blocking_statistics(s: SparkSession, d: str) -> DataFrame:
     return blocking.statistics(*_blocked(s, d))
 
 
+def _comparable(s: SparkSession, d: str) -> DataFrame:
+    """The facts that are compared, their measures by the registry's names."""
+    return blocking.with_aliases(FA.comparable(ledger.loadable(table(s, d, "facts"))), registry.aliases(table(s, d, "predicate_registry")))
+
+
 def _blocked_facts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All three strategies over the facts that are compared."""
     rows = ledger.loadable(table(s, d, "facts"))
-    f = cut(FA.comparable(rows).select("fact_id", "subject_surface", "subject_key", "measure", "quantity"))
+    f = cut(_comparable(s, d).select("fact_id", "subject_surface", "subject_key", "measure", "quantity"))
     vectors = FA.once(rows.select("fact_id", "embedding_model", "embedding", "created_at"))
     return blocking.folded_union(f, {"value": blocking.magnitude_pairs(f), "semantic": blocking.semantic_pairs(vectors)}), f
 
@@ -134,7 +139,8 @@ def facts_key_classes(s: SparkSession, d: str) -> DataFrame:
     """The class of each fact in the folded rows of facts_blocking_union."""
     f = ledger.loadable(table(s, d, "facts"))
     measure = S.split_consolidation(F.coalesce("predicate_canonical", "predicate"))["measure"]
-    return blocking.key_classes(FA.once(f.select("fact_id", "subject_surface", "subject_key", measure.alias("measure"), "created_at")))[0]
+    one = FA.once(f.select("fact_id", "subject_surface", "subject_key", measure.alias("measure"), "created_at"))
+    return blocking.key_classes(blocking.with_aliases(one, registry.aliases(table(s, d, "predicate_registry"))))[0]
 
 
 def facts_magnitude_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +179,7 @@ def order_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 def decide_histogram(s: SparkSession, d: str) -> DataFrame:
     """Verdicts by rule over the facts table: all pairs of one identity and measure."""
-    return tally.histogram(FA.comparable(ledger.loadable(table(s, d, "facts"))))
+    return tally.histogram(_comparable(s, d))
 
 
 def partition_groups(s: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 from fractions import Fraction
 
 import pytest
@@ -95,11 +96,51 @@ def test_blocking_of_facts_with_three_strategies(spark, monkeypatch):
     want = {(r.fact_a, r.fact_b): tuple(r.blocked_by) for r in whole.collect() if r.blocked_by != ["key"]}
     assert {(r.fact_a, r.fact_b): tuple(r.blocked_by) for r in folded.where("not folded").collect()} == want
     assert blocking.statistics(folded, facts).first() == blocking.statistics(whole, facts).first()
-    monkeypatch.setattr(core, "table", lambda s, d, name: df)
+    registry_ = spark.createDataFrame([("revenue", '["sales"]')], "canonical string, aliases_json string")
+    monkeypatch.setattr(core, "table", lambda s, d, name: df if name == "facts" else registry_)
     names = {n for r in core.facts_blocking_union(spark, "").collect() for n in r.blocked_by.split(",")}
     assert names == {"key", "value", "semantic"} and core.facts_key_classes(spark, "").count() == 5
 
 
+def test_neighbours_in_blocks_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(f"v{i:02d}", [rng.gauss(0, 1) for _ in range(6)], "m") for i in range(60)] + [("z", [0.0] * 6, "m"), ("o", [1.0] * 4, "m"), (None, [1.0] * 6, "m")]
+    df = spark.createDataFrame(rows, "fact_id string, embedding array<float>, embedding_model string")
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v, _ in rows if i and len(v) == 6 and any(v)}
+    cos = lambda a, b: sum(x * y for x, y in zip(unit[a], unit[b]))
+    best = {a: sorted((b for b in unit if b != a), key=lambda b: (-cos(a, b), b))[:3] for a in unit}
+    whole = {tuple(sorted((a, b))) for a, bs in best.items() for b in bs}
+    for block in (1000, 17):
+        assert {tuple(r) for r in blocking.semantic_pairs(df.where("fact_id is not null"), k=3, block=block).collect()} == whole
+    v = df.where("size(embedding) = 6 and fact_id <> 'z'")
+    got = {}
+    for r in blocking.neighbours(v, v.where("fact_id like '%5'"), "fact_id", "embedding", k=3, least=-1.0, vector_block=25, query_block=2).collect():
+        got.setdefault(r.query, {})[r.rank] = r.neighbour
+    assert got == {a: dict(enumerate(b, 1)) for a, b in best.items() if a.endswith("5")}
+    assert blocking.semantic_pairs(df.limit(0)).count() == 0 and blocking.neighbours(v.limit(0), v.limit(0), "fact_id", "embedding").count() == 0
+
+
+def test_documents_become_relations(spark):
+    from factweave.operators import pipeline
+
+    texts = {1: "Acme report\nStandalone results\nRevenue of Acme Limited was 8,142 crore in FY24.\nfor the year ended March 31, 2024", 2: "Acme filing\nRevenue of Acme Limited was 81,415.38 million in FY24, and costs were Rs 5,444 crore."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fact_ = lambda raw, quote, scale=None, predicate="revenue": {"passage_id": 0, "claim_text": quote, "subject_surface": "Acme Limited", "subject_key": None, "subject_type": None, "predicate": predicate, "value": {"kind": "quantity", "raw": raw, "unit": None, "scale": scale}, "qualifiers": [{"key": "period", "value": "FY24", "provenance": "stated"}], "quote": quote, "confidence": 0.9}
+    keys = {r.doc_id: r.key for r in pipeline.requests(pipeline.sectioned_chunks(docs), "m").collect()}
+    answers = {1: [fact_("8,142", "Revenue of Acme Limited was 8,142 crore in FY24"), fact_("8,142", "Revenue of Acme Limited was 8,142 crore in FY24")], 2: [fact_("81,415.38", "Revenue of Acme Limited was 81,415.38 million"), fact_("9", "never said anywhere in it"), fact_("5,444", "costs were Rs 5,444 crore", predicate="costs")]}
+    cache = spark.createDataFrame([(keys[d], json.dumps({"facts": a})) for d, a in answers.items()], "key string, response string")
+    out = pipeline.extracted(docs, cache, "m")
+    totals = {r.doc_id: r.asDict() for r in out["totals"].collect()}
+    assert totals[1] == {"doc_id": 1, "requests": 1, "missing": 0, "extracted": 2, "grounded": 2, "quarantined": 0, "orphaned": 0, "duplicates_collapsed": 1, "kept": 1}
+    assert totals[2]["extracted"] == 3 and totals[2]["quarantined"] == 1 and totals[2]["kept"] == 2
+    facts = {(r.doc_id, r.measure): r for r in out["facts"].collect()}
+    assert {q.key: (q.value, q.provenance) for q in facts[1, "revenue"].qualifiers} == {"period": ("FY24", "stated"), "consolidation": ("standalone", "inherited")}
+    assert texts[2][facts[2, "costs"].char_start : facts[2, "costs"].char_end] == "costs were Rs 5,444 crore" and facts[2, "costs"].quantity.normalized == 5.444e10
+    rel = pipeline.compared(out["facts"]).collect()
+    assert [(r.verdict, r.rule_fired, r.cross_document, r.blocked_by) for r in rel] == [("corroborates", "keys_match_intervals_overlap", True, ["key", "value"])]
+    assert pipeline.extracted(docs, cache.limit(0), "m")["totals"].agg({"missing": "sum"}).first()[0] == 2
+
+
 def test_histogram_counts_every_pair(spark, monkeypatch):
     monkeypatch.setattr(tally, "CHUNK", 7)
     from factweave.plans import core
@@ -111,7 +152,8 @@ def test_histogram_counts_every_pair(spark, monkeypatch):
     whole = decide.histogram(decide.relations(blocking.exact_key_pairs(facts), facts))
     want = {tuple(r) for r in whole.collect()}
     assert {tuple(r) for r in tally.histogram(facts).collect()} == want and "complementary_categories" in {r[1] for r in want}
-    monkeypatch.setattr(core, "table", lambda s, d, name: spark.createDataFrame(rows, COLUMNS))
+    registry_ = spark.createDataFrame([("revenue", '["sales"]')], "canonical string, aliases_json string")
+    monkeypatch.setattr(core, "table", lambda s, d, name: spark.createDataFrame(rows, COLUMNS) if name == "facts" else registry_)
     assert {tuple(r) for r in core.decide_histogram(spark, "").collect()} == want
 
 
