@@ -289,7 +289,7 @@ def _levels(placed: DataFrame, shard_rows: int, max_pivots: int, margin: float,
 
 
 def _searched(k: int, degree: int, beam: int, at_least: float | None):
-    """(id, other, similarity) of a shard: the graph over its own rows, queried by the asked rows, own ones and visitors."""
+    """(id, other, similarity) of a shard: the graph over its own rows, queried by the asked rows, own ones and visitors. beam: the queries'."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -298,7 +298,7 @@ def _searched(k: int, degree: int, beam: int, at_least: float | None):
         exact = unit_rows(table.column("vector"))
         x = np.ascontiguousarray(exact[own].astype(np.float32))
         nodes = np.flatnonzero(own)
-        graph, entries = build_graph(x, degree, beam) if len(nodes) else (None, None)
+        graph, entries = build_graph(x, degree) if len(nodes) else (None, None)
         node_of = np.full(len(own), -1, dtype=np.int64)
         node_of[nodes] = np.arange(len(nodes))
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -416,6 +416,6 @@ def similar_facts(facts: DataFrame, k: int = 10, one_in: int = 20, **options) ->
     """
     once = facts.select("fact_id", "embedding_model", "embedding").dropDuplicates(["fact_id"])
     asked = F.pmod(F.xxhash64("fact_id"), F.lit(one_in)) == 0
-    found = nearest(once, id_col="fact_id", vector_col="embedding", part_col="embedding_model", k=k, asked=asked, **({"beam": 48, "degree": 16} | options))
+    found = nearest(once, id_col="fact_id", vector_col="embedding", part_col="embedding_model", k=k, asked=asked, **({"beam": 48} | options))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return found.select(F.col("id").alias("fact_id"), "other", rank.alias("rank"), F.round("similarity", 9).alias("similarity"))
