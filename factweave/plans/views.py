@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import strings as S
-from ..operators import align, blocking, decide, extract, textstruct
+from ..operators import align, blocking, decide, extract, registry, textstruct
 from ..operators import facts as FA
 from ..session import cut, spread, table
 from ..sources import ledger, surface
@@ -223,6 +223,32 @@ def missing_embeddings(s: SparkSession, d: str) -> DataFrame:
     return ledger.missing_embeddings(f.select("fact_id").distinct(), have, "concord-wide-48")
 
 
+def facts_key_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The pairs that exact keys propose over facts, folded by classes of one name, hard key and measure."""
+    return blocking.key_classes(_named(s, d))[1]
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    f = ledger.loadable(table(s, d, "facts"))
+    measure = S.split_consolidation(F.coalesce("predicate_canonical", "predicate"))["measure"]
+    one = FA.once(f.select("fact_id", "subject_surface", "subject_key", measure.alias("measure"), "created_at"))
+    return blocking.with_aliases(one, registry.aliases(table(s, d, "predicate_registry")))
+
+
+def facts_value_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of facts whose stored figures are of one kind and sign and at most a step apart."""
+    f = FA.once(table(s, d, "facts").select("fact_id", "value_normalized", "value_json", "created_at"))
+    q = F.struct(F.col("value_normalized").alias("normalized"), N.is_percent_unit(F.from_json("value_json", FA.VALUE)["unit"]).alias("is_percent"))
+    return blocking.magnitude_pairs(f.select("fact_id", q.alias("quantity")))
+
+
+def facts_neighbours(s: SparkSession, d: str, model: str = "concord-wide-48") -> DataFrame:
+    """The 10 nearest facts of one model to every fact of it whose id's first four digits are divisible by 20."""
+    f = FA.once(table(s, d, "facts").select("fact_id", "embedding", "embedding_model", "created_at")).where((F.col("embedding_model") == model) & F.col("embedding").isNotNull() & (F.size("embedding") == 48))
+    asked = f.where(F.conv(F.substring("fact_id", 3, 4), 16, 10).cast("int") % 20 == 0)
+    return blocking.neighbours(f, asked, "fact_id", "embedding").select("query", "neighbour", "rank")
+
+
 def _orders(s: SparkSession, d: str) -> DataFrame:
     """Orders as facts: whole figures, percentages, single-digit lakhs; periods that can be read or can't, under two keys; some have a segment, some a hard key."""
     t = spread(table(s, d, "orders"), "o_custkey")
@@ -256,7 +282,30 @@ _WORDS = r"list_filter(string_split(regexp_replace(trim({0}), '\s+', ' ', 'g'),
 
 _SOLE = r"CASE WHEN regexp_matches({0}, '\bconsolidated\b') AND NOT regexp_matches({0}, '\bstandalone\b') THEN 'consolidated' WHEN regexp_matches({0}, '\bstandalone\b') AND NOT regexp_matches({0}, '\bconsolidated\b') THEN 'standalone' END"
 
+_MEASURE = _CANONICAL.format("coalesce(predicate_canonical, predicate)")
+_NAMED = f"""
+    once AS (SELECT * FROM facts WHERE fact_id IS NOT NULL AND coalesce(align_status, '') <> 'unlocated' QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY created_at NULLS LAST) = 1),
+    al AS (SELECT alias, min(canonical) AS canonical FROM (SELECT canonical, unnest(CAST(aliases_json AS JSON)::VARCHAR[]) AS alias FROM predicate_registry UNION ALL SELECT canonical, canonical FROM predicate_registry) GROUP BY 1),
+    m AS (SELECT fact_id, {_NAME.format("subject_surface")} AS name, nullif(subject_key, '') AS hard, CASE WHEN regexp_matches({_MEASURE}, '^(consolidated|standalone)_.') THEN regexp_replace({_MEASURE}, '^(consolidated|standalone)_', '') ELSE {_MEASURE} END AS said FROM once),
+    f AS (SELECT fact_id, name, hard, coalesce(canonical, said) AS measure FROM m LEFT JOIN al ON alias = said WHERE coalesce(canonical, said) <> '' AND (name <> '' OR hard IS NOT NULL)),
+    cl AS (SELECT measure, name, hard, min(fact_id) AS class, count(*) AS n FROM f GROUP BY 1, 2, 3)"""
+
 SQL = {
+    "facts_key_classes": f"WITH {_NAMED} SELECT fact_id, class AS name_class FROM f JOIN cl ON cl.measure = f.measure AND cl.name = f.name AND cl.hard IS NOT DISTINCT FROM f.hard",
+    "facts_key_pairs": f"""
+        WITH {_NAMED}, i AS (SELECT class, n, measure, name AS ident FROM cl WHERE name <> '' UNION SELECT class, n, measure, hard FROM cl WHERE hard IS NOT NULL
+          UNION SELECT class, n, measure, left(name, length(name) - length(form) - 1) FROM cl, (SELECT unnest([{_list(S.LEGAL_FORMS)}]) AS form) WHERE ends_with(name, ' ' || form) AND length(name) > length(form) + 1),
+        p AS (SELECT DISTINCT x.class AS class_a, y.class AS class_b, x.n * y.n AS n FROM i x JOIN i y ON x.ident = y.ident AND x.measure = y.measure AND x.class < y.class)
+        SELECT * FROM p UNION ALL SELECT class, class, n * (n - 1) // 2 FROM cl WHERE n > 1""",
+    "facts_value_pairs": f"""
+        WITH {_ONCE}, q AS (SELECT fact_id, value_normalized AS v, trim(regexp_replace(replace(lower(coalesce(value_json->>'unit', '')), '-', ' '), '\\s+', ' ', 'g')) IN ({_list(N.PERCENT_WORDS)}) AS pct FROM once WHERE value_normalized IS NOT NULL),
+        b AS (SELECT fact_id, CASE WHEN pct THEN 'pct' ELSE 'abs' END || CASE WHEN v = 0 THEN ':zero' WHEN v < 0 THEN ':-' ELSE ':+' END AS axis, CASE WHEN v = 0 THEN 0 ELSE CAST(floor(log10(abs(v)) / 0.002) AS BIGINT) END AS band FROM q)
+        SELECT x.fact_id AS fact_a, y.fact_id AS fact_b FROM b x JOIN b y ON x.axis = y.axis AND y.band BETWEEN x.band - 1 AND x.band + 1 AND x.fact_id < y.fact_id""",
+    "facts_neighbours": f"""
+        WITH {_ONCE}, v AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 AS long FROM once WHERE embedding_model = 'concord-wide-48' AND len(embedding) = 48),
+        q AS (SELECT * FROM v WHERE CAST('0x' || substr(fact_id, 3, 4) AS INT) % 20 = 0),
+        s AS (SELECT q.fact_id AS query, v.fact_id AS neighbour, CASE WHEN q.long AND v.long THEN round(list_cosine_similarity(q.e, v.e), 9) ELSE 0.0 END AS sim FROM q JOIN v ON v.fact_id <> q.fact_id)
+        SELECT query, neighbour, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS INT) AS rank FROM s WHERE sim >= 0 QUALIFY rank <= 10""",
     "facts_page": f"""
         WITH {_ONCE}, f AS (SELECT * FROM once WHERE coalesce(align_status, '') <> 'unlocated' AND predicate_canonical = 'revenue_from_haulage'
           AND (coalesce(claim_text ILIKE '%haul%', false) OR coalesce(subject_surface ILIKE '%haul%', false) OR coalesce(predicate ILIKE '%haul%', false)))
@@ -387,7 +436,7 @@ SQL = {
 def _all() -> dict:
     fs = (
         facts_page, quarantined_page, relations_page, evidence, verify_facts, schema_timeline, schema_entries, ledger_totals, extraction_totals, shaped_facts, quarantine_ids, fact_names, unit_words, truncated_scales, years_mentioned, compatible_years,
-        value_dates, order_dates, narrowed_years, same_entities, resolved_measures, request_keys, chunk_batches, chunk_contexts, inherited, line_kinds, chunk_cover, claims_in_chunks, aligned_evidence, dropped_relations, missing_embeddings, order_rules,
+        value_dates, order_dates, narrowed_years, same_entities, resolved_measures, request_keys, chunk_batches, chunk_contexts, inherited, line_kinds, chunk_cover, claims_in_chunks, aligned_evidence, dropped_relations, missing_embeddings, facts_key_pairs, facts_value_pairs, facts_neighbours, order_rules,
     )
     return {f.__name__: f for f in fs}
 
