@@ -24,6 +24,8 @@ SHARD_ROWS, MAX_PIVOTS, SAMPLE = 6_000, 1_024, 64
 DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 20, 16, 4, 1.1, 192
 #: Queries go to shards whose pivot is that much less similar than their nearest one: for all close vectors, and for the k best.
 MARGIN, REACH = 0.06, 0.4
+#: Of the k best few are in shards whose pivot is that much less similar: the beam is narrower there, FAR_BEAM times k.
+FAR, FAR_BEAM = 0.15, 2
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, width: int = WIDTH, floor: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -212,25 +214,27 @@ def _first_pivots(rows: DataFrame, n: int, shard_rows: int, max_pivots: int) ->
     return c, np.bincount(np.argmax(x @ c.T, axis=1)).max() / len(x) * n
 
 
-def _cells_of(v: np.ndarray, own: np.ndarray, asked: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, own): own rows go to their nearest pivot's cell, asked ones also to the cells within the margin."""
+def _cells_of(v: np.ndarray, own: np.ndarray, asked: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own, gap: how much less similar the cell's pivot is than the nearest): own rows go to their nearest pivot's cell, asked ones also to the cells within the margin."""
     s = v @ pivots.T
     best = np.argmax(s, axis=1)
-    near = (s >= s.max(axis=1, keepdims=True) - margin) & asked[:, None]
+    gap = s.max(axis=1, keepdims=True) - s
+    near = (gap <= margin) & asked[:, None]
     near[np.arange(len(v)), best] |= own
     row, cell = np.nonzero(near)
-    return row, cell, own[row] & (best[row] == cell)
+    return row, cell, own[row] & (best[row] == cell), gap[row, cell]
 
 
-def _placed(batch: pa.RecordBatch | pa.Table, row: np.ndarray, cell: np.ndarray, own: np.ndarray) -> pa.Table:
-    """The rows in their new cells; a cell is called by its path from the first level on."""
+def _placed(batch: pa.RecordBatch | pa.Table, row: np.ndarray, cell: np.ndarray, own: np.ndarray, gap: np.ndarray) -> pa.Table:
+    """The rows in their new cells; a cell is called by its path from the first level on, and the gap is the largest on it."""
     out = batch.take(pa.array(row))
+    gap = np.maximum(out.column("gap").to_numpy(zero_copy_only=False), gap.astype(np.float32))
     path = [f"{p}/{c}" if p else str(c) for p, c in zip(out.column("shard").to_pylist(), cell.tolist())]
-    return pa.table({"part": out.column("part"), "shard": pa.array(path, pa.string()), "id": out.column("id"), "vector": out.column("vector"), "own": pa.array(own), "asked": out.column("asked")})
+    return pa.table({"part": out.column("part"), "shard": pa.array(path, pa.string()), "id": out.column("id"), "vector": out.column("vector"), "own": pa.array(own), "asked": out.column("asked"), "gap": pa.array(gap)})
 
 
 def _assigned(pivots: dict[str, np.ndarray], margin: float):
-    """Rows (part, shard, id, vector, own, asked) in the cells of the first level."""
+    """Rows (part, shard, id, vector, own, asked, gap) in the cells of the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +244,10 @@ def _assigned(pivots: dict[str, np.ndarray], margin: float):
                 at = np.flatnonzero(groups == part)
                 some, c = batch.take(pa.array(at)), pivots[part]
                 if len(c) == 1:
-                    row, cell, own = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                    placed = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool), np.zeros(len(at))
                 else:
-                    row, cell, own = _cells_of(unit_rows(some.column("vector")), np.ones(len(at), bool), asked[at], c, margin)
-                yield from _placed(some, row, cell, own).to_batches()
+                    placed = _cells_of(unit_rows(some.column("vector")), np.ones(len(at), bool), asked[at], c, margin)
+                yield from _placed(some, *placed).to_batches()
 
     return run
 
@@ -253,10 +257,10 @@ def _divided(shard_rows: int, max_pivots: int, margin: float):
 
     def run(sample: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return rows.select(["part", "shard", "id", "vector", "own", "asked"])
+            return rows.select(["part", "shard", "id", "vector", "own", "asked", "gap"])
         own, asked = (rows.column(c).to_numpy() for c in ("own", "asked"))
         if not sample.num_rows:
-            return _placed(rows, np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64), own)
+            return _placed(rows, np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64), own, np.zeros(rows.num_rows))
         x = unit_rows(sample.sort_by("id").column("vector"))
         k = min(max_pivots, max(2, math.ceil(len(x) * sample.column("every")[0].as_py() / shard_rows)), len(x))
         return _placed(rows, *_cells_of(unit_rows(rows.column("vector")), own, asked, fit_pivots(x, k), margin))
@@ -267,7 +271,7 @@ def _divided(shard_rows: int, max_pivots: int, margin: float):
 def _levels(placed: DataFrame, shard_rows: int, max_pivots: int, margin: float, levels: int = 3) -> DataFrame:
     """placed with large cells divided by pivots of their own, level by level; its cells are counted by their own rows."""
     kind = placed.schema["id"].dataType.simpleString()
-    schema = f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean"
+    schema = f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean, gap float"
     done: DataFrame | None = None
     for _ in range(levels):
         placed = cut(placed)
@@ -302,15 +306,16 @@ def _searched(k: int, degree: int, beam: int, at_least: float | None):
         node_of = np.full(len(own), -1, dtype=np.int64)
         node_of[nodes] = np.arange(len(nodes))
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for mine in (True, False) if len(nodes) else ():
-            queries = np.flatnonzero(asked & (own == mine))
+        far = table.column("gap").to_numpy() > FAR
+        for mine, apart in ((True, False), (False, False), (False, True)) if len(nodes) else ():
+            queries = np.flatnonzero(asked & (own == mine) & (far == apart))
             for i in range(0, len(queries), 768):
                 rows = queries[i : i + 768]
                 q = exact[rows].astype(np.float32)
                 start = starts(x, entries, q, 4 if mine else 8)
                 if mine:  # from the row's own node too; what is far from it leads nowhere
                     start = np.concatenate([node_of[rows][:, None], start], axis=1)
-                most = max(beam, 3 * k) if mine or at_least is None else 12
+                most = 12 if at_least is not None and not mine else FAR_BEAM * k if apart else max(beam, 3 * k)
                 ids, sims = beam_search(x, graph, q, start, min(most, len(nodes)), floor=min(0.9, at_least - 0.05) if mine and at_least is not None else None)
                 ok = (ids >= 0) & (ids != node_of[rows][:, None])
                 if at_least is not None:
@@ -359,12 +364,12 @@ def nearest(
     margin = margin if margin is not None else (REACH if at_least is None else MARGIN)
     part = F.concat_ws("#", F.col(part_col), F.size(vector_col))
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull() & F.col(part_col).isNotNull()).select(
-        part.alias("part"), F.lit("").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(asked if asked is not None else F.lit(True), F.lit(False)).alias("asked")
+        part.alias("part"), F.lit("").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(asked if asked is not None else F.lit(True), F.lit(False)).alias("asked"), F.lit(0.0).cast("float").alias("gap")
     )
     kind = rows.schema["id"].dataType.simpleString()
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     fitted = {p: _first_pivots(rows.where(F.col("part") == p), n, shard_rows, max_pivots) for p, n in counts.items()}
-    placed = rows.mapInArrow(_assigned({p: c for p, (c, _) in fitted.items()}, margin), f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean")
+    placed = rows.mapInArrow(_assigned({p: c for p, (c, _) in fitted.items()}, margin), f"part string, shard string, id {kind}, vector array<float>, own boolean, asked boolean, gap float")
     if all(most <= 3 * shard_rows for _, most in fitted.values()):
         placed = placed.withColumn("cut", F.lit(0))
     else:
