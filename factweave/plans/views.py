@@ -397,6 +397,15 @@ SQL = {
         b AS (SELECT *, regexp_matches(x, '^[{S.BULLETS}\x{{E000}}-\x{{F8FF}}-]{{1,2}}$') AS lone, lag(regexp_matches(x, '^[{S.BULLETS}\x{{E000}}-\x{{F8FF}}]{{1,2}}$')) OVER (PARTITION BY doc_id ORDER BY i) AS opened FROM n)
         SELECT doc_id, count(*) FILTER (length(z) <= 80 AND len(list_filter(regexp_split_to_array(z, '[\t-\r \x{{85}}\p{{Z}}]+'), lambda w: w <> '')) <= 12 AND regexp_matches(z, '\p{{L}}') AND NOT regexp_matches(z, '[.,;:]$')) AS shaped,
                count(*) FILTER (coalesce(opened, false) OR (length(x) > 1 AND regexp_matches(x, '^[{S.BULLETS}\x{{E000}}-\x{{F8FF}}]'))) AS bulleted FROM b GROUP BY doc_id""",
+    "chunks": rf"""
+        WITH RECURSIVE {_LINES}, p AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+        n AS (SELECT doc_id, s, s + length(t) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) - 1 AS top FROM p WHERE {_NONBLANK}),
+        a AS (SELECT x.doc_id, x.k, x.s, x.top, coalesce(min(y.k) FILTER (y.e - x.s >= 4000), x.top) AS last FROM n x JOIN n y ON y.doc_id = x.doc_id AND y.k >= x.k GROUP BY 1, 2, 3, 4),
+        b AS (SELECT a.*, z.e, z.e - 500 AS back FROM a JOIN n z ON z.doc_id = a.doc_id AND z.k = a.last),
+        c AS (SELECT b.doc_id, b.k, b.s, b.e, b.last, b.top, greatest(b.k + 1, CASE WHEN b.back > b.s THEN coalesce(max(y.k) FILTER (y.k > b.k AND y.k <= b.last AND y.s <= b.back), b.k + 1) ELSE b.last END) AS nxt
+              FROM b JOIN n y ON y.doc_id = b.doc_id AND y.k >= b.k GROUP BY 1, 2, 3, 4, 5, 6, b.back),
+        w(doc_id, k, no) AS (SELECT doc_id, k, 0 FROM n WHERE k = 0 UNION ALL SELECT w.doc_id, c.nxt, w.no + 1 FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k WHERE c.last < c.top)
+        SELECT w.doc_id, CAST(w.no AS INT) AS chunk_no, CAST(c.s AS BIGINT) AS char_start, CAST(c.e AS BIGINT) AS char_end, CAST(c.e - c.s AS INT) AS n FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k""",
     "chunk_cover": rf"""
         WITH {_LINES}, p AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l)
         SELECT doc_id, CAST(min(s) AS BIGINT) AS begins, CAST(max(s + length(t)) AS BIGINT) AS ends, true AS ok FROM p WHERE {_NONBLANK} GROUP BY doc_id""",
