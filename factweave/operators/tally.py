@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -214,7 +214,7 @@ def histogram(facts: DataFrame) -> DataFrame:
     figure = F.coalesce(F.col("value_kind") == "quantity", F.lit(False))
     one = decide.prepared(rest).withColumns({"figure": figure, "ctx_bag": _conditions(rest)}).withColumn("ctx_key", F.sha1(F.to_json("ctx_bag", {"ignoreNullFields": "false"})))
     keys = one.groupBy("ctx_key").agg(F.first("ctx_bag").alias("bag"))
-    bags = cut(keys.select((F.row_number().over(Window.orderBy("ctx_key")) - 1).cast("long").alias("ctx"), "ctx_key", "bag"))
+    bags = cut(keys.select(F.monotonically_increasing_id().alias("ctx"), "ctx_key", "bag"))  # numbered where they lie, once
     num = lambda c: F.when(figure, q[c].cast("double")).alias(c)
     text = lambda c: F.when(~F.col("figure"), F.col(c))
     values = one.select("state", "ctx_key", "figure", (figure & q.isNull()).alias("unread"), F.when(figure, F.col("fact_id")).alias("own"), text("value_kind").alias("kind"), F.when(figure, q["unit"]).alias("unit_of"), F.when(figure, q["is_percent"]).alias("pct"), num("lo"), num("hi"), num("normalized"), F.when(figure, F.col("digits")).cast("int").alias("digits"), text("words").alias("words"), text("day").cast("string").alias("day"))
