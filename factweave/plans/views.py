@@ -218,9 +218,10 @@ def dropped_relations(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """Facts without a vector of 48 numbers; widths stand for models."""
     f = table(s, d, "facts")
-    have = f.where("embedding is not null").select("fact_id", "embedding_model")
-    return ledger.missing_embeddings(f.select("fact_id").distinct(), have, "concord-wide-48")
+    have = f.where("embedding is not null").select("fact_id", F.size("embedding").cast("string").alias("embedding_model"))
+    return ledger.missing_embeddings(f.select("fact_id").distinct(), have, "48")
 
 
 def facts_key_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -242,9 +243,9 @@ def facts_value_pairs(s: SparkSession, d: str) -> DataFrame:
     return blocking.magnitude_pairs(f.select("fact_id", q.alias("quantity")))
 
 
-def facts_neighbours(s: SparkSession, d: str, model: str = "concord-wide-48") -> DataFrame:
-    """The 10 nearest facts of one model to every fact of it whose id's first four digits are divisible by 20."""
-    f = FA.once(table(s, d, "facts").select("fact_id", "embedding", "embedding_model", "created_at")).where((F.col("embedding_model") == model) & F.col("embedding").isNotNull() & (F.size("embedding") == 48))
+def facts_neighbours(s: SparkSession, d: str, width: int = 48) -> DataFrame:
+    """The 10 nearest facts of one width of vectors to every fact of it whose id's first four digits are divisible by 20."""
+    f = FA.once(table(s, d, "facts").select("fact_id", "embedding", "created_at")).where(F.col("embedding").isNotNull() & (F.size("embedding") == width))
     asked = f.where(F.conv(F.substring("fact_id", 3, 4), 16, 10).cast("int") % 20 == 0)
     return blocking.neighbours(f, asked, "fact_id", "embedding").select("query", "neighbour", "rank")
 
@@ -302,7 +303,7 @@ SQL = {
         b AS (SELECT fact_id, CASE WHEN pct THEN 'pct' ELSE 'abs' END || CASE WHEN v = 0 THEN ':zero' WHEN v < 0 THEN ':-' ELSE ':+' END AS axis, CASE WHEN v = 0 THEN 0 ELSE CAST(floor(log10(abs(v)) / 0.002) AS BIGINT) END AS band FROM q)
         SELECT x.fact_id AS fact_a, y.fact_id AS fact_b FROM b x JOIN b y ON x.axis = y.axis AND y.band BETWEEN x.band - 1 AND x.band + 1 AND x.fact_id < y.fact_id""",
     "facts_neighbours": f"""
-        WITH {_ONCE}, v AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 AS long FROM once WHERE embedding_model = 'concord-wide-48' AND len(embedding) = 48),
+        WITH {_ONCE}, v AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 AS long FROM once WHERE len(embedding) = 48),
         q AS (SELECT * FROM v WHERE CAST('0x' || substr(fact_id, 3, 4) AS INT) % 20 = 0),
         s AS (SELECT q.fact_id AS query, v.fact_id AS neighbour, CASE WHEN q.long AND v.long THEN round(list_cosine_similarity(q.e, v.e), 9) ELSE 0.0 END AS sim FROM q JOIN v ON v.fact_id <> q.fact_id)
         SELECT query, neighbour, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS INT) AS rank FROM s WHERE sim >= 0 QUALIFY rank <= 10""",
@@ -419,7 +420,7 @@ SQL = {
     "dropped_relations": f"""
         WITH {_RELATIONS}, {_ONCE}, ok AS (SELECT fact_id FROM once WHERE coalesce(align_status, '') <> 'unlocated')
         SELECT fact_a, fact_b FROM rel WHERE fact_a NOT IN (SELECT fact_id FROM ok) OR fact_b NOT IN (SELECT fact_id FROM ok)""",
-    "missing_embeddings": "SELECT DISTINCT fact_id FROM facts WHERE fact_id NOT IN (SELECT fact_id FROM facts WHERE embedding IS NOT NULL AND embedding_model = 'concord-wide-48')",
+    "missing_embeddings": "SELECT DISTINCT fact_id FROM facts WHERE fact_id NOT IN (SELECT fact_id FROM facts WHERE embedding IS NOT NULL AND len(embedding) = 48)",
 
     "order_rules": """
         WITH r AS (SELECT printf('%010d', o_orderkey) AS id, o_custkey AS c, CAST(round(o_totalprice) AS BIGINT) AS v, o_orderstatus = 'P' AS pct, o_orderkey % 7 = 0 AS lakh, CAST(year(o_orderdate) AS INT) AS y, o_orderpriority = '4-NOT SPECIFIED' AS till,
