@@ -1,10 +1,10 @@
 """Linking variant spellings of names: a prefix-filtered set-similarity join on token q-grams, verified by soft weighted token similarity.
 
 The join has two levels. Distinct tokens are sets of q-grams: grams are ordered rare first, tokens within some edits must share a gram
-of their prefixes in that order, and an equi-join on prefix grams with a positional bound finds all of them. Names are sets of tokens, where a token also
-stands for its close ones; tokens are ordered rare first, and names that share enough weight share two tokens of their prefixes, so
-an equi-join on pairs of tokens finds them. A pair of tokens is far rarer than a gram, so candidates grow with the names, not
-with their square. Candidates are verified token by token: each token must find a partner, spelled nearly alike, shortened, an
+of their prefixes in that order, and an equi-join on prefix grams with a positional bound finds all of them; abbreviations meet by some of
+their letters. Names are sets of tokens, where a token also stands for all its partners. In names that are one every token has a partner, but for two
+that are run together in the other name, so few of a name's rarest tokens suffice: an equi-join on pairs of tokens finds all names that the
+verification can accept. Candidates are verified token by token: each token must find a partner, spelled nearly alike, shortened, an
 initial or a nickname, and partners count by the rarity of the token. Links make up components.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from ..session import cut, ship, spread
 from .components import connected_components
 
-QGRAM, SHARED, SCORE = 2, 0.6, 0.8
-#: Parts of a token that two tokens may have been run together from; letters of abbreviations that stand beside one other token; tokens of a name.
-PART, ABBREVIATION, LONGEST = 4, 6, 24
+QGRAM, SCORE = 2, 0.8
+#: Names of more tokens than that meet by single tokens, as their pairs of tokens would be too many; it changes no result.
+LONGEST = 24
 
 # Legal forms and how they are written, titles, stand-ins, and the short forms of first names.
 LEGAL = {
@@ -120,14 +121,35 @@ def token_similarity(a: str, b: str) -> float:
     return 0.9 if _shortened(a, b) else 0.0
 
 
-def _aligned(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
-    """The weighted mean similarity of partners, best first, where every token has one; else 0. Initials stand for tokens of one name only."""
-    ranked = sorted(((token_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    left, right, total = set(range(len(a))), set(range(len(b))), 0.0
+def _spelled(a: str, b: str) -> float:
+    """token_similarity by spelling alone."""
+    d, most = edits(a, b), max(len(a), len(b))
+    return 1.0 - d / most if d <= allowed_edits(most) else 0.0
+
+
+def _aligned(a: list[str], b: list[str], wa: list[float], wb: list[float], run: int = -1) -> float:
+    """The weighted mean similarity of partners, best first, where every token has one; else 0. Initials stand for tokens of one name only.
+
+    run: the place in `a` of two tokens put together, whose partner must be spelled nearly alike.
+    """
+    places = defaultdict(list)
+    for j, y in enumerate(b):
+        places[y].append(j)
+    left, total = set(), 0.0
+    for i in range(len(a) - 1, -1, -1):
+        if places.get(a[i]):
+            total += wa[i] + wb[places[a[i]].pop()]
+        else:
+            left.add(i)
+    right = {j for js in places.values() for j in js}
+    ranked = []
+    for i in left:
+        met = [(s, i, j) for j in right if (s := _spelled(a[i], b[j]) if i == run else token_similarity(a[i], b[j])) > 0.5]
+        if not met:
+            return 0.0
+        ranked += met
     initials = [False, False]
-    for s, i, j in ranked:
-        if s <= 0.5:
-            break
+    for s, i, j in sorted(ranked, reverse=True):
         if i in left and j in right:
             left.discard(i)
             right.discard(j)
@@ -138,11 +160,6 @@ def _aligned(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> fl
     return 0.0 if left or right or all(initials) else total / (sum(wa) + sum(wb))
 
 
-def _joined(tokens: list[str], weights: list[float]) -> Iterator[tuple[list[str], list[float]]]:
-    for k in range(len(tokens) - 1):
-        yield tokens[:k] + [tokens[k] + tokens[k + 1]] + tokens[k + 2 :], weights[:k] + [weights[k] + weights[k + 1]] + weights[k + 2 :]
-
-
 def name_similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
     """Soft weighted token similarity, 0 where a token has no partner. Two tokens of one name may be run together in the other."""
     if len(a) == len(b):
@@ -151,7 +168,8 @@ def name_similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]
         return 0.0
     if len(a) < len(b):
         a, b, wa, wb = b, a, wb, wa
-    return max((_aligned(x, b, wx, wb) for x, wx in _joined(a, wa)), default=0.0)
+    joined = lambda x, k: x[:k] + [x[k] + x[k + 1]] + x[k + 2 :]
+    return max((_aligned(joined(a, k), b, joined(wa, k), wb, k) for k in range(len(a) - 1)), default=0.0)
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,106 +195,174 @@ def _verified(threshold: float):
     return run
 
 
+def _most(n: Column, partner: bool = False) -> Column:
+    """allowed_edits of the longer one's length n; with `partner`, the most of a string of n letters with one of any length."""
+    a, b, c = (2, 3, 6) if partner else (3, 5, 9)
+    return F.when(n <= a, 0).when(n <= b, 1).when(n <= c, 2).otherwise(3)
+
+
 def _grams(strings: DataFrame, counts: DataFrame) -> DataFrame:
     """(s, n, gram, at): the grams of every string's prefix in the order of their rarity, with their places.
 
-    The prefix holds one gram more than the most edits that a partner may have can change, one swap of neighbours among them.
+    The prefix holds one gram more than the most edits that a partner may have can change, one swap of neighbours among them, and all places of its last gram.
     """
     grams = strings.select("s", F.length("s").alias("n"), F.posexplode(F.expr(f"transform(sequence(1, length(s) + 3 - {QGRAM}), i -> substring(concat(' ', s, ' '), i, {QGRAM}))")).alias("at", "gram"))
-    n = F.col("n") + 1  # a partner may be longer and allow more
-    most = F.when(n <= 3, 0).when(n <= 5, 1).when(n <= 9, 2).otherwise(3)
     ranked = grams.join(counts, "gram", "left").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "at"))).alias("g"))
-    return ranked.select("s", "n", F.explode(F.slice("g", F.lit(1), 2 * most + 2)).alias("g")).select("s", "n", "g.gram", "g.at")
+    last = F.get("g", F.least(2 * _most(F.col("n"), True) + 1, F.size("g") - 1))
+    prefix = F.filter("g", lambda e: (e["df"] < last["df"]) | (e["df"] == last["df"]) & (e["gram"] <= last["gram"]))
+    return ranked.select("s", "n", F.explode(prefix).alias("g")).select("s", "n", "g.gram", "g.at")
+
+
+def _sorted_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, key): strings that may have several swaps, with their sorted letters, and long ones also with these but for one."""
+    for batch in batches:
+        s, key = [], []
+        for x in batch.column(0).to_pylist():
+            if len(x) < 6:
+                continue
+            t = "".join(sorted(x))
+            keys = [t] if len(x) < 9 else sorted({t} | {t[:i] + t[i + 1 :] for i in range(len(t))})
+            s += [x] * len(keys)
+            key += keys
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(key, pa.string())], ["s", "key"])
 
 
 def close_tokens(wanted: DataFrame, listed: DataFrame) -> DataFrame:
     """(z, v): the strings v of `listed` (s) that are spelled nearly like z of `wanted` (s), itself included; both are distinct.
 
-    The prefix-filtered join on q-grams; a shared gram must stand at about the same place in both, and lengths must be near.
+    The prefix-filtered join on q-grams; a shared gram must stand at about the same place in both, and lengths must be near. Of three edits
+    two or more can be swaps of neighbours only in strings that have the same letters but for one at most: these meet by their sorted letters.
     """
     grams = listed.select(F.explode(F.expr(f"transform(sequence(1, length(s) + 3 - {QGRAM}), i -> substring(concat(' ', s, ' '), i, {QGRAM}))")).alias("gram"))
     counts = cut(grams.groupBy("gram").agg(F.count("*").alias("df")))
     q = _grams(wanted, counts).select(F.col("s").alias("z"), F.col("n").alias("nz"), "gram", F.col("at").alias("az"))
-    x = _grams(listed, counts).select(F.col("s").alias("v"), F.col("n").alias("nv"), "gram", F.col("at").alias("av"))
-    longer = F.greatest("nz", "nv")
-    most = F.when(longer <= 3, 0).when(longer <= 5, 1).when(longer <= 9, 2).otherwise(3)
-    met = q.join(x, "gram").where((F.abs(F.col("nz") - F.col("nv")) <= most) & (F.abs(F.col("az") - F.col("av")) <= most))
-    some = met.where(F.levenshtein("z", "v", 4).between(0, most + F.when(most > 0, 1).otherwise(0))).select("z", "v").distinct()
-    return some.mapInArrow(_near, "z string, v string")
+    # a partner's length is part of the key
+    lengths = F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 3), F.col("n") + 3)).alias("nz")
+    x = _grams(listed, counts).select(F.col("s").alias("v"), F.col("n").alias("nv"), "gram", F.col("at").alias("av"), lengths)
+    most = _most(F.greatest("nz", "nv"))
+    met = q.join(x.where(F.abs(F.col("nz") - F.col("nv")) <= most), ["gram", "nz"]).where(F.abs(F.col("az") - F.col("av")) <= most)
+    d = F.levenshtein("z", "v", 4)
+    some = cut(met.where(d.between(0, most + F.when(most > 0, 1).otherwise(0))).select("z", "v", (d <= most).alias("sure")).distinct())
+    letters = lambda df, c: df.mapInArrow(_sorted_letters, "s string, key string").select(F.col("s").alias(c), "key")
+    swapped = letters(wanted, "z").join(letters(listed, "v"), "key").where(F.abs(F.length("z") - F.length("v")) <= 1).select("z", "v").distinct()
+    unsure = some.where(~F.col("sure")).select("z", "v").unionByName(swapped)
+    return some.where("sure").select("z", "v").unionByName(unsure.mapInArrow(_near, "z string, v string")).distinct()
+
+
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, long, key): for every string the key of its abbreviations, which is its first two letters and its last one, and the keys that strings shortened to it may have."""
+    for batch in batches:
+        s, long, key = [], [], []
+        for x in batch.column(0).to_pylist():
+            if len(x) < 2:
+                continue
+            seen: set[str] = set()
+            keys: set[str] = set()
+            for c in x[1:]:
+                keys |= {x[0] + b + c for b in seen} | {x[0] + c + c}
+                seen.add(c)
+            s += [x] * (1 + len(keys))
+            long += [False] + [True] * len(keys)
+            key += [x[0] + x[1] + x[-1], *sorted(keys)]
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(long, pa.bool_()), pa.array(key, pa.string())], ["s", "long", "key"])
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield batch.take(pa.array([i for i in range(len(a)) if _shortened(a[i], b[i])], pa.int64()))
 
 
-def _pairs_of(x: Column, y: Column) -> Column:
-    """One number for every pair of a token of x and one of y, whatever their order."""
-    return F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: F.xxhash64(F.least(p, q), F.greatest(p, q)))))
+def short_tokens(listed: DataFrame) -> DataFrame:
+    """(z, v), both ways: the strings (s) of which one is the other without some of its letters, as in abbreviations."""
+    keys = cut(spread(listed, "s").mapInArrow(_lettered, "s string, long boolean, key string"))
+    side = lambda long, c: keys.where(F.col("long") == long).select(F.col("s").alias(c), "key")
+    met = side(False, "z").join(side(True, "v"), "key").where(F.length("z") <= F.length("v") * F.lit(0.7)).select("z", "v")
+    found = cut(met.mapInArrow(_short, "z string, v string"))
+    return found.unionByName(found.select(F.col("v").alias("z"), F.col("z").alias("v")))
 
 
-def _signatures(tokens: Column, own: str, shared: float) -> Column:
-    """Numbers of the pairs of tokens of a name that suffice to meet names that share `shared` of its weight; tokens come rare first.
+def _pairs_of(x: Column, y: Column, size: Column) -> Column:
+    """One number for every pair of a token of x and one of y in names of that size."""
+    return F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: F.xxhash64(p, q, size))))
 
-    The first two tokens that such a name shares are i and j only if i and all from j on weigh that much.
-    """
-    k, weight = F.size(tokens), lambda t: F.aggregate(t, F.lit(0.0), lambda s, x: s + x["ws"])
-    none = F.array().cast("array<bigint>")
 
-    def second(i: Column) -> Column:
-        one = F.get(tokens, i)
-        rest = lambda j: F.slice(tokens, j + 1, k)
-        return F.flatten(F.transform(F.sequence(i + 1, k - 1), lambda j: F.when(one["ws"] + weight(rest(j)) >= weight(tokens) * shared, _pairs_of(one[own], F.get(tokens, j)[own])).otherwise(none)))
+def _met_by_pairs(tokens: Column, first: int, size: Column) -> Column:
+    """Numbers of the pairs of the first tokens of a name, to meet names of that size: one with its partners, the other to be met by its own."""
+    at = lambda i: F.get(tokens, F.lit(i))
+    return F.concat(*(_pairs_of(at(i)["near"], at(j)["called"], size) for i in range(first) for j in range(i + 1, first)))
 
-    pairs = F.when(k >= 2, F.flatten(F.transform(F.sequence(F.lit(0), k - 2), second))).otherwise(none)
-    alone = F.when(k == 1, F.transform(F.get(tokens, F.lit(0))[own], lambda x: F.xxhash64(x))).otherwise(none)
-    return F.concat(pairs, alone)
 
+def _met_by_one(tokens: Column, own: str, first: int | Column, size: Column) -> Column:
+    """Numbers of the first single tokens of a name, to meet names of that size."""
+    return F.flatten(F.transform(F.slice(tokens, 1, first), lambda t: F.transform(t[own], lambda x: F.xxhash64(x, size))))
+
+
+def _asked(tokens: Column) -> Column:
+    """Numbers by which a name with its tokens' partners, rare first, meets the tokens of every name that may be it.
+
+    Of two names of one size each token has a partner. Where two tokens are run together, at most one of the shorter name's tokens has none,
+    and two of the longer name's, so among two more of its tokens a pair is left. An initial stands for its partners only in the name that has
+    the whole token, hence both names ask. Two tokens run together are themselves asked for in names of one or two tokens.
+    """
+    k, none = F.size(tokens), F.array().cast("array<bigint>")
+    one = F.when(k == 1, _met_by_one(tokens, "near", 1, k)).otherwise(none)
+    two = lambda least, first, size: F.when(k.between(least, LONGEST), _met_by_pairs(tokens, first, size)).otherwise(none)
+    long = lambda first, size: F.when(k >= LONGEST, _met_by_one(tokens, "near", first, size)).otherwise(none)
+    run = F.when(k == 2, _met_by_pairs(tokens, 2, F.lit(-2))).otherwise(none)
+    return F.concat(one, two(2, 2, k), two(3, 3, k + 1), two(4, 4, k - 1), run, long(1, k), long(2, k + 1), long(3, k - 1))
 
-def _beside(tokens: Column, own: str, which: Column) -> Column:
-    """For names of two tokens: numbers of one token and the first letter of the other, where `which` holds of the other."""
-    def of(i: int) -> Column:
-        one, other = F.get(tokens, F.lit(i)), F.get(tokens, F.lit(1 - i))
-        return F.when(which(other), F.transform(one[own], lambda x: F.xxhash64(x, F.lit("^"), F.substring(other["token"], 1, 1)))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.when(F.size(tokens) == 2, F.concat(of(0), of(1))).otherwise(F.array().cast("array<bigint>"))
+def _held(tokens: Column) -> Column:
+    k, none = F.size(tokens), F.array().cast("array<bigint>")
+    single = F.when((k == 1) | (k >= LONGEST), _met_by_one(tokens, "forms", k, k)).otherwise(none)
+    others = lambda t: F.flatten(F.transform(F.filter(tokens, lambda u: u["i"] != t["i"]), lambda u: _pairs_of(t["forms"], u["alike"], k)))
+    return F.concat(single, F.when(k.between(2, LONGEST), F.flatten(F.transform(tokens, others))).otherwise(none))
 
 
-def name_candidates(classes: DataFrame, n: int, shared: float = SHARED) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of names (name, tokens, size) that may be one, and (name, tokens, weights); size: how many spellings have these tokens."""
+def name_candidates(classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of all names (name, tokens, size) that name_similarity may accept, and (name, tokens, weights); size: how many spellings have these tokens."""
     vocabulary = classes.select(F.explode(F.array_distinct("tokens")).alias("token"), "size").groupBy("token").agg(F.sum("size").alias("df"))
     nick = F.try_element_at(F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv]), F.col("token"))
     forms = F.array_compact(F.array("token", nick))
-    parts = F.when(F.length("token") >= 2 * PART, F.transform(F.sequence(F.lit(PART), F.length("token") - PART), lambda k: F.struct(F.substring("token", F.lit(1), k).alias("p"), F.substring(F.col("token"), k + 1, F.length("token")).alias("s"))))
-    known = cut(vocabulary.select("token", "df", forms.alias("forms"), parts.alias("parts"), F.transform(F.filter(forms, lambda f: F.length(f) > 1), lambda f: F.substring(f, 1, 1)).alias("initials")))
-    listed = known.select(F.explode("forms").alias("s")).distinct()
-    wanted = listed.unionByName(known.select(F.explode("parts").alias("x")).select(F.explode(F.array("x.p", "x.s")).alias("s"))).distinct()
-    close = cut(close_tokens(wanted, listed))
-    spelled = known.select("token", F.explode("forms").alias("z")).join(close, "z").select("token", "v")
-    first = known.select("token", F.explode("initials").alias("v"))
-    near = spelled.unionByName(first).groupBy("token").agg(F.collect_set("v").alias("near"))
+    known = cut(vocabulary.select("token", "df", forms.alias("forms"), F.transform(F.filter(forms, lambda f: F.length(f) > 1), lambda f: F.substring(f, 1, 1)).alias("initials")))
+    listed = cut(known.select(F.explode("forms").alias("s")).distinct())
+    # two neighbours of a name, put together, and the place of the third token if there is one
+    two = classes.where(F.size("tokens") == 2).select("name", F.array_join("tokens", "").alias("z"), F.lit(None).cast("int").alias("i"))
+    three = classes.where(F.size("tokens") == 3).select("name", F.explode(F.array(*(F.struct(F.array_join(F.slice("tokens", 2 - i // 2, 2), "").alias("z"), F.lit(i).alias("i")) for i in (0, 2)))).alias("r")).select("name", "r.z", "r.i")
+    run = cut(two.unionByName(three))
+    close = cut(close_tokens(cut(listed.unionByName(run.select(F.col("z").alias("s"))).distinct()), listed))
+    partners = close.unionByName(short_tokens(listed))
+    alike = cut(known.select("token", F.explode("forms").alias("z")).join(partners, "z").select("token", "v").distinct())
+    near = alike.groupBy("token").agg(F.collect_set("v").alias("alike"))
     # a misspelled common word is as common as the word
-    soft = spelled.join(known.select(F.col("token").alias("v"), F.col("df").alias("of")), "v").groupBy("token").agg(F.sum("of").alias("soft"))
+    soft = alike.join(known.select(F.col("token").alias("v"), F.col("df").alias("of")), "v").groupBy("token").agg(F.sum("of").alias("soft"))
     rare = lambda c: F.log(F.lit(1.0) + F.lit(float(n)) / F.col(c))
-    described = known.select("token", "df", "forms").join(near, "token").join(soft, "token").select("token", rare("df").alias("w"), rare("soft").alias("ws"), "forms", "near")
+    # forms are met as they are, alike ones meet them both ways; of a whole token also its initials are called
+    of = ["token", rare("df").alias("w"), rare("soft").alias("ws"), "forms", "alike", F.array_union("alike", "initials").alias("near"), F.array_union("forms", "initials").alias("called")]
+    described = known.join(near, "token").join(soft, "token").select(*of)
     words = classes.select("name", F.posexplode("tokens").alias("i", "token")).join(described, "token")
-    rows = cut(words.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "token", "w", "ws", "forms", "near"))).alias("t")))
-    # pairs of neighbours of the two parts of a token that may be two tokens run together
-    cuts = known.select("token", F.explode("parts").alias("x")).select("token", F.col("x.p").alias("p"), F.col("x.s").alias("s"))
-    side = lambda x: close.select(F.col("z").alias(x), F.col("v").alias(f"v{x}"))
-    run = cuts.join(side("p"), "p").join(side("s"), "s").select("token", F.xxhash64(F.least("vp", "vs"), F.greatest("vp", "vs")).alias("sig")).distinct()
+    rows = cut(words.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "token", "w", "ws", "forms", "alike", "near", "called"))).alias("t")))
     by_rarity = lambda c: F.array_sort(c, lambda x, y: F.when(x["ws"] > y["ws"], -1).when(x["ws"] < y["ws"], 1).when(x["token"] < y["token"], -1).when(x["token"] > y["token"], 1).otherwise(0))
-    short = rows.where(F.size("t") <= LONGEST).select("name", by_rarity(F.col("t")).alias("t"))
-    t = F.col("t")
-    asked = short.select("name", F.explode(F.concat(_signatures(t, "near", shared), _beside(t, "near", lambda o: F.lit(True)))).alias("sig")).unionByName(words.select("name", "token").join(run, "token").select("name", "sig"))
-    held = short.select("name", F.explode(F.concat(_signatures(t, "forms", 0.0), _beside(t, "forms", lambda o: F.length(o["token"]) <= ABBREVIATION))).alias("sig")).distinct()
+    names = rows.select("name", by_rarity(F.col("t")).alias("t"))
+    beside = rows.join(run.join(close, "z"), "name").select("name", "v", F.get("t", F.col("i")).alias("o"))
+    one, two = F.xxhash64("v", F.lit(1)), lambda own: _pairs_of(F.array("v"), F.col("o")[own], F.lit(2 if own == "called" else -2))
+    asked_run = F.when(F.col("o").isNull(), F.array(one)).otherwise(two("called"))
+    held_run = F.concat(two("alike"), _pairs_of(F.col("o")["forms"], F.array("v"), F.lit(-2)))
+    asked = names.select("name", F.explode(_asked(F.col("t"))).alias("sig")).unionByName(beside.select("name", F.explode(asked_run).alias("sig"))).distinct()
+    held = names.select("name", F.explode(_held(F.col("t"))).alias("sig")).unionByName(beside.where("o is not null").select("name", F.explode(held_run).alias("sig"))).distinct()
     met = held.select(F.col("name").alias("x"), "sig").join(asked.select(F.col("name").alias("y"), "sig"), "sig").where("x <> y")
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs, rows.select("name", F.transform("t", lambda x: x["token"]).alias("t"), F.transform("t", lambda x: x["w"]).alias("w"))
 
 
-def name_links(names: DataFrame, *, surface_col: str, key_col: str | None = None, shared: float = SHARED, score: float = SCORE) -> DataFrame:
+def name_links(names: DataFrame, *, surface_col: str, key_col: str | None = None, score: float = SCORE) -> DataFrame:
     """(surface_a, surface_b), surface_a < surface_b: verified links between different spellings.
 
     Null and blank spellings and stand-ins link to nothing. With `key_col`, spellings that have a key in common (whatever its case, blanks
     and hyphens) are linked, and spellings that each have a key but none in common are not. Repeated rows count once; other columns
     are dropped. Grams and tokens are counted over all spellings. Spellings with the same tokens are linked to the least of them and compared
-    once. Names that share `shared` of one's weight in close tokens, two at least where it has two, are candidates; a surface of more than LONGEST tokens is no name and is linked only where all its tokens are the same.
+    once. All pairs that name_similarity gives `score` are found, whatever the names' length.
     """
     ship(names.sparkSession)
     key = F.upper(F.regexp_replace(F.col(key_col), r"(?U)[\s\-]+", "")) if key_col else F.lit(None).cast("string")
@@ -286,7 +372,7 @@ def name_links(names: DataFrame, *, surface_col: str, key_col: str | None = None
     read = cut(tokens.withColumn("same", F.concat_ws("\u0001", F.concat_ws(" ", "tokens"), F.coalesce("key_lo", F.lit("")), F.coalesce("key_hi", F.lit("")))))
     classes = cut(read.groupBy("same").agg(F.min("surface").alias("name"), F.first("tokens").alias("tokens"), F.first("key_lo").alias("key_lo"), F.first("key_hi").alias("key_hi"), F.count("*").alias("size")))
     alike = read.join(classes.where("size > 1").select("same", "name"), "same").where("name <> surface").select(F.col("name").alias("surface_a"), F.col("surface").alias("surface_b"))
-    pairs, spelled = name_candidates(classes.select("name", "tokens", "size"), read.count(), shared)
+    pairs, spelled = name_candidates(classes.select("name", "tokens", "size"), read.count())
     of = lambda x: spelled.join(classes.select("name", "key_lo", "key_hi"), "name").select(F.col("name").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("t", "w", "key_lo", "key_hi")))
     apart = F.coalesce((F.col("key_loa") == F.col("key_hia")) & (F.col("key_lob") == F.col("key_hib")) & (F.col("key_loa") != F.col("key_lob")), F.lit(False))
     met = pairs.join(of("a"), "a").join(of("b"), "b").where(~apart).select(F.col("a").alias("surface_a"), F.col("b").alias("surface_b"), "ta", "tb", "wa", "wb")

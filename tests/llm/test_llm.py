@@ -269,6 +269,56 @@ def test_name_candidates_of_other_kinds(spark):
     assert all(of.get(a, -1) == of.get(b, -2) for a, b in links) and {x for p in links for x in p} == set(of)
 
 
+def test_name_candidates_are_all_that_the_verification_accepts(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdr") for _ in range(rnd.randint(1, 11))) for _ in range(50)] + ["bill", "william", "wm", "bob", "robert", "international", "intl", "de", "silva"]
+
+    def variant(t):
+        t = list(t)
+        for _ in range(rnd.randint(1, 3)):
+            k, kind = rnd.randrange(len(t)), rnd.randrange(6)
+            w = t[k]
+            if kind == 0 and len(w) > 3:
+                i = rnd.randrange(len(w) - 1)
+                t[k] = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            elif kind == 1:
+                t[k] = w[0]
+            elif kind == 2:
+                t[k] = w[0] + "".join(c for c in w[1:] if rnd.random() < 0.6)
+            elif kind == 3 and k + 1 < len(t):
+                t[k : k + 2] = [w + t[k + 1]]
+            elif kind == 4:
+                i = rnd.randrange(len(w) + 1)
+                t[k] = w[:i] + rnd.choice("abx") + w[i + rnd.randint(0, 1) :]
+            else:
+                rnd.shuffle(t)
+        return t
+
+    made = [[rnd.choice(words) for _ in range(n)] for n in [1, 2, 2, 3, 3, 3, 4, 5, 6] * 4 + [23, 24, 25, 26, 40] * 2]
+    made = sorted({" ".join(x) for t in made for x in (t, *(variant(t) for _ in range(4)))})
+    classes = {}
+    for m in made:
+        classes.setdefault(tuple(names.tokens_of(m)), []).append(m)
+    classes.pop((), None)
+    rows = [(min(v), list(t), len(v)) for t, v in classes.items()]
+    pairs, spelled = names.name_candidates(spark.createDataFrame(rows, "name string, tokens array<string>, size long"), sum(r[2] for r in rows))
+    of = {r.name: (r.t, r.w) for r in spelled.collect()}
+    got = {(r.a, r.b) for r in pairs.collect()}
+    want = {(a, b) for a in of for b in of if a < b and names.name_similarity(of[a][0], of[b][0], of[a][1], of[b][1]) >= names.SCORE}
+    sizes = {len(of[a][0]) for a, b in want}
+    assert {1, 2, 3, 4} <= sizes and max(sizes) > 24 and any(len(of[a][0]) != len(of[b][0]) for a, b in want)
+    assert want <= got
+
+
+def test_long_names_and_abbreviations_are_linked(spark):
+    long = " ".join(f"{a}{b}word" for a in "bcdfg" for b in "aeiou")
+    groups = [[long + " holdings", long + " holdngs", long.replace("bawordbeword", "baword beword") + " holdings"], ["Chandrasekhar Ravindran Textiles", "Chandrskhr Rvndrn Textiles"], ["Maria De Silva", "Maria Desilva"], ["Sharma Infrastructure", "Sharma Infrstrct"]]
+    alone = ["Maria Desouza", "Chandrasekhar Textiles", long, "Sharma"]
+    df = spark.createDataFrame([(m,) for m in [m for g in groups for m in g] + alone], "n string")
+    links = {tuple(r) for r in names.name_links(df, surface_col="n").collect()}
+    assert links == {(a, b) for g in groups for a in set(g) for b in set(g) if a < b}
+
+
 # --- p8
 
 
