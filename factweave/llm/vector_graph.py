@@ -1,10 +1,12 @@
-"""Most similar vectors by robust-pruned directed graphs, one for each shard of the collection.
+"""Most similar vectors by robust-pruned directed graphs, one for each shard of the collection; all close vectors by comparing within shards.
 
 A vector is a node of one shard only, that of its nearest pivot; pivots are fitted on bounded samples, level by level, until shards
 are small, so the number of shards grows with the collection. A shard's graph is grown in batches that double: a beam
 search from the entry nodes proposes neighbours of each new vector, batch mates propose each other, and robust pruning with a relaxed distance
 keeps an edge only where no kept edge leads closer to its end. Edges are added in reverse and pruned again. Queries are answered
 by beam search in the shards whose pivots are nearly as similar as the nearest one. All steps work on whole batches of vectors at once.
+Where all vectors of some similarity are wanted, each row is compared with all own rows of its shards instead: shards are bounded, so that this
+costs less than building a graph, and leaves none of a shard's close vectors out.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ SHARD_ROWS, MAX_PIVOTS, SAMPLE = 6_000, 1_024, 64
 DEGREE, BEAM, WIDTH, ALPHA, ENTRIES = 20, 16, 4, 1.1, 192
 #: Queries go to shards whose pivot is that much less similar than their nearest one: for all close vectors, and for the k best.
 MARGIN, REACH = 0.06, 0.4
+#: Similarities that one step of comparing computes at most.
+CELLS = 1_500_000
 #: Of the k best few are in shards whose pivot is that much less similar: the beam is narrower there, FAR_BEAM times k.
 FAR, FAR_BEAM = 0.15, 2
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, width: int = WIDTH, floor: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities), each queries x beam, best first; free places have id -1. entries: start nodes of each query.
 
-    Every step expands the `width` best nodes of each beam that are not expanded yet. With `floor`, nodes less similar than it are
-    expanded in the first two steps only, which suits searches that start at the query's own node.
+    Every step expands the `width` best nodes of each beam that are not expanded yet.
     """
     n, b, r = len(x), len(q), graph.shape[1]
     seen = np.zeros((b, n), dtype=bool)
@@ -46,16 +49,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.nda
     ids[:, :e], sims[:, :e] = _by_similarity(entries, s, e)
     done[:, :e] = ids[:, :e] < 0
     seen[rows[:, None], entries] = True
-    step = 0
     while True:
         open_ = ~done
-        if floor is not None and step >= 2:
-            open_ &= sims >= floor
         pick = open_ & (np.cumsum(open_, axis=1) <= width)
         at, col = np.nonzero(pick)
         if not len(at):
             return ids, sims
-        step += 1
         done[at, col] = True
         to = graph[ids[at, col]]
         where = np.repeat(at, r)
@@ -292,7 +291,33 @@ def _levels(placed: DataFrame, shard_rows: int, max_pivots: int, margin: float,
     return placed if done is None else done.unionByName(placed)
 
 
-def _searched(k: int, degree: int, beam: int, at_least: float | None):
+def _compared(at_least: float):
+    """(id, other, similarity) of a shard: the asked rows, own ones and visitors, with all its own rows of at least that similarity."""
+
+    def run(table: pa.Table) -> pa.Table:
+        exact = unit_rows(table.column("vector"))
+        nodes = np.flatnonzero(table.column("own").to_numpy())
+        asked = np.flatnonzero(table.column("asked").to_numpy())
+        x = np.ascontiguousarray(exact[nodes].astype(np.float32).T)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        size = max(1, CELLS // max(1, len(nodes)))
+        for i in range(0, len(asked) if len(nodes) else 0, size):
+            rows = asked[i : i + size]
+            near = exact[rows].astype(np.float32) @ x >= np.float32(at_least - 1e-4)
+            at, col = np.divmod(np.flatnonzero(near.ravel()), len(nodes))
+            a, b = rows[at], nodes[col]
+            a, b = a[a != b], b[a != b]
+            sims = np.einsum("md,md->m", exact[a], exact[b])
+            keep = sims >= at_least - 1e-9
+            found.append((a[keep], b[keep], sims[keep]))
+        a, b, sims = (np.concatenate(v) for v in zip(*found))
+        name = table.column("id").combine_chunks()
+        return pa.table({"id": name.take(pa.array(a)), "other": name.take(pa.array(b)), "similarity": pa.array(sims)})
+
+    return run
+
+
+def _searched(k: int, degree: int, beam: int):
     """(id, other, similarity) of a shard: the graph over its own rows, queried by the asked rows, own ones and visitors. beam: the queries'."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -313,30 +338,17 @@ def _searched(k: int, degree: int, beam: int, at_least: float | None):
                 rows = queries[i : i + 768]
                 q = exact[rows].astype(np.float32)
                 start = starts(x, entries, q, 4 if mine else 8)
-                if mine:  # from the row's own node too; what is far from it leads nowhere
+                if mine:  # from the row's own node too
                     start = np.concatenate([node_of[rows][:, None], start], axis=1)
-                most = 12 if at_least is not None and not mine else FAR_BEAM * k if apart else max(beam, 3 * k)
-                ids, sims = beam_search(x, graph, q, start, min(most, len(nodes)), floor=min(0.9, at_least - 0.05) if mine and at_least is not None else None)
+                most = FAR_BEAM * k if apart else max(beam, 3 * k)
+                ids, sims = beam_search(x, graph, q, start, min(most, len(nodes)))
                 ok = (ids >= 0) & (ids != node_of[rows][:, None])
-                if at_least is not None:
-                    ok &= sims >= at_least - 1e-4
-                    full = ok.sum(axis=1) >= ids.shape[1] - 2
-                    for j in np.flatnonzero(full):  # more partners than the beam holds: all of the shard, exactly
-                        hits = np.flatnonzero(x @ q[j] >= at_least - 1e-4)
-                        hits = hits[hits != node_of[rows[j]]]
-                        left.append(np.full(len(hits), rows[j]))
-                        right.append(nodes[hits])
-                        ok[j] = False
-                else:
-                    ok &= np.cumsum(ok, axis=1) <= k
+                ok &= np.cumsum(ok, axis=1) <= k
                 a, c = np.nonzero(ok)
                 left.append(rows[a])
                 right.append(nodes[ids[a, c]])
         a, b = np.concatenate(left), np.concatenate(right)
         sims = np.einsum("md,md->m", exact[a], exact[b])
-        if at_least is not None:
-            keep = sims >= at_least - 1e-9
-            a, b, sims = a[keep], b[keep], sims[keep]
         name = table.column("id").combine_chunks()
         return pa.table({"id": name.take(pa.array(a)), "other": name.take(pa.array(b)), "similarity": pa.array(sims)})
 
@@ -357,7 +369,7 @@ def nearest(
     With `at_least`, all vectors of at least that similarity; without, the `k` best. An asked vector visits the shards whose pivots are
     within `margin` of its nearest one's similarity (MARGIN or REACH), and meets the vectors whose own shard that is. Ids must be unique;
     null ids, parts and vectors, and zero vectors, are no rows of the collection. Ties go by id. A shard that stays beyond four times
-    `shard_rows` rows, because its vectors are too alike to be divided, becomes several graphs, each asked by all its visitors.
+    `shard_rows` rows, because its vectors are too alike to be divided, becomes several, each asked by all its visitors.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -379,7 +391,8 @@ def nearest(
         placed = met.withColumn("own", F.col("own") & (F.col("cut") == F.pmod(F.xxhash64("id"), F.col("cuts")))).drop("cuts")
     # about a shard a task, whatever the session's number of shuffle partitions
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(math.ceil(n / shard_rows) for n in counts.values()))
-    found = placed.repartition(tasks, "part", "shard", "cut").groupBy("part", "shard", "cut").applyInArrow(_searched(k, degree, beam, at_least), f"id {kind}, other {kind}, similarity double")
+    of_shard = _searched(k, degree, beam) if at_least is None else _compared(at_least)
+    found = placed.repartition(tasks, "part", "shard", "cut").groupBy("part", "shard", "cut").applyInArrow(of_shard, f"id {kind}, other {kind}, similarity double")
     if at_least is not None:
         return found.distinct()
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
@@ -402,7 +415,7 @@ def _classes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def close_pairs(facts: DataFrame, at_least: float = 0.96, **options) -> DataFrame:
     """(fact_a, fact_b), fact_a < fact_b: different facts of one model with cosine >= at_least, repeated deliveries once.
 
-    Equal vectors are one node of the graph; their facts are expanded at the end.
+    Equal vectors are compared once; their facts are expanded at the end.
     """
     reps, members = _classes(facts)
     members = cut(members)

@@ -213,6 +213,19 @@ def test_more_partners_than_the_beam(spark):
     assert vector_graph.close_pairs(_facts(spark, rows)).count() == 70 * 69 // 2
 
 
+def test_a_shard_keeps_all_its_close_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = (rng.normal(size=(20, 1, 256)) + 0.35 * rng.normal(size=(20, 100, 256))).reshape(-1, 256)
+    x = np.concatenate([base, base + 0.19 * rng.normal(size=base.shape)]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = {(f"f{a:04d}", f"f{b:04d}") for a, b in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.96))}
+    df = _facts(spark, [(f"f{i:04d}", v, "m") for i, v in enumerate(x.tolist())])
+    assert len(true) > 1000
+    assert {tuple(r) for r in vector_graph.close_pairs(df).collect()} == true
+    found = vector_graph.nearest(df, id_col="fact_id", vector_col="embedding", part_col="embedding_model", at_least=0.96, asked=F.col("fact_id") < "f0500", shard_rows=50_000)
+    assert {(r.id, r.other) for r in found.collect()} == {p for a, b in true for p in ((a, b), (b, a)) if p[0] < "f0500"}
+
+
 # --- p7
 
 SAME = ["Vexalmed Opaeirion Insurance LLP", "M/s. Vexalmed Opaeirion Insurance L.L.P.", "vexalmed opaeirion insce llp", "Vexalmed Opaierion Insurance", "Opaeirion Vexalmed Insurance LLP", "Vexalmed\xa0Opaeirion  Insurance, LLP", "Vexalmedopaeirion Insurance LLP"]
