@@ -82,6 +82,24 @@ def test_blocking(spark):
     assert blocking.only_touching(both, facts.where("fact_id = 'f_deck'")).count() == 3
 
 
+def exchanges_above_joins(df):
+    """Exchanges whose input is a join's output, in the plan as made."""
+    depth, found = [], 0
+    for line in df._jdf.queryExecution().sparkPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = [(d, x) for d, x in depth if d < at] + [(at, line)]
+        found += "Join" in line and any("Exchange" in x or "Aggregate" in x for _, x in depth[:-1])
+    return found
+
+
+def test_pairs_meet_once_without_an_exchange_of_the_pairs(spark):
+    rows = [("a", "Acme Limited", "K", "m", 100.0), ("b", "Acme Limited", "K", "m", 100.1), ("c", "Acme", "K", "m", 100.7), ("d", "acme", None, "n", 90.0), ("a", "Acme", None, "n", 100.7), ("d", "Acme Limited", None, "m", None), ("e", "Acme Limited", "", "m", None)]
+    facts = spark.createDataFrame(rows, "fact_id string, subject_surface string, subject_key string, measure string, v double").withColumn("quantity", F.struct(F.col("v").alias("normalized"), F.lit(False).alias("is_percent")))
+    for pairs, want in ((blocking.exact_key_pairs(facts), ["ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de"]), (blocking.exact_key_pairs(facts, within=["v"]), ["de"])):
+        assert sorted(r.fact_a + r.fact_b for r in pairs.collect()) == want
+        assert exchanges_above_joins(pairs) == 0
+
+
 def test_blocking_of_facts_with_three_strategies(spark, monkeypatch):
     from factweave.plans import core
 
