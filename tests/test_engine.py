@@ -95,7 +95,7 @@ def exchanges_above_joins(df):
 def test_pairs_meet_once_without_an_exchange_of_the_pairs(spark):
     rows = [("a", "Acme Limited", "K", "m", 100.0), ("b", "Acme Limited", "K", "m", 100.1), ("c", "Acme", "K", "m", 100.7), ("d", "acme", None, "n", 90.0), ("a", "Acme", None, "n", 100.7), ("d", "Acme Limited", None, "m", None), ("e", "Acme Limited", "", "m", None)]
     facts = spark.createDataFrame(rows, "fact_id string, subject_surface string, subject_key string, measure string, v double").withColumn("quantity", F.struct(F.col("v").alias("normalized"), F.lit(False).alias("is_percent")))
-    for pairs, want in ((blocking.exact_key_pairs(facts), ["ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de"]), (blocking.exact_key_pairs(facts, within=["v"]), ["de"])):
+    for pairs, want in ((blocking.exact_key_pairs(facts), ["ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de"]), (blocking.magnitude_pairs(facts), ["ab", "ac", "bc"]), (blocking.exact_key_pairs(facts, within=["v"]), ["de"])):
         assert sorted(r.fact_a + r.fact_b for r in pairs.collect()) == want
         assert exchanges_above_joins(pairs) == 0
 
