@@ -100,6 +100,17 @@ def test_pairs_meet_once_without_an_exchange_of_the_pairs(spark):
         assert exchanges_above_joins(pairs) == 0
 
 
+def test_value_pairs_of_facts_meet_without_an_exchange_of_the_pairs(spark, monkeypatch):
+    from factweave.plans import views
+
+    rows = [(f"f{i}", v, json.dumps({"unit": u}), None) for i, (v, u) in enumerate([(100.0, None), (100.1, "Cr"), (100.7, None), (100.0, "per cent"), (-100.0, None), (0.0, None), (0.0, None), (None, None)])]
+    df = spark.createDataFrame([*rows, rows[0]], "fact_id string, value_normalized double, value_json string, created_at timestamp")
+    monkeypatch.setattr(views, "table", lambda s, d, name: df)
+    pairs = views.facts_value_pairs(spark, "")
+    assert sorted(map(tuple, pairs.collect())) == [("f0", "f1"), ("f0", "f2"), ("f1", "f2"), ("f5", "f6")]
+    assert exchanges_above_joins(pairs) == 0
+
+
 def test_blocking_of_facts_with_three_strategies(spark, monkeypatch):
     from factweave.plans import core
 
