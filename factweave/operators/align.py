@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,16 +66,44 @@ def nearest_end(needle: str, text: str) -> tuple[int, int]:
     return best
 
 
+def _grams(text: str) -> np.ndarray:
+    """A number below 2^16 for every three characters in a row; equal ones have equal numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return (c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)
+
+
+def within_reach(needle: str, text: str, edits: int) -> list[tuple[int, int]]:
+    """Spans of the text that hold all its substrings with at most so many edits to the needle; most texts have none.
+
+    An edit touches three of the needle's grams, so such a substring keeps the others, and it is at most `edits` longer than the needle.
+    """
+    least, width = len(needle) - 2 - 3 * edits, len(needle) + edits - 2  # grams that are kept, and grams of the longest substring
+    if least <= 0:
+        return [(0, len(text))]
+    known = np.zeros(1 << 16, dtype=bool)
+    known[_grams(needle)] = True
+    total = np.concatenate(([0], np.cumsum(known[_grams(text)])))
+    kept = total[width:] - total[:-width] if len(total) > width else total[-1:]  # of the windows; substrings that begin behind the last lie in it
+    starts = np.flatnonzero(kept >= least)
+    if not len(starts):
+        return []
+    ends = np.flatnonzero(np.diff(starts) > width + 2)
+    return [(int(s), min(int(e) + width + 2, len(text))) for s, e in zip(starts[np.append(0, ends + 1)], starts[np.append(ends, len(starts) - 1)])]
+
+
 def most_similar(quote: str, text: str) -> tuple[float, int, int]:
     """(score, start, end) of the text's part that is most similar to the quote, white space folded in both; score 0 where none reaches LEAST_SCORE.
 
-    A part of that score has few edits, so the end comes from the search for the fewest; its starts are tried within as many places.
+    A part of that score has few edits, so the end comes from the search for the fewest, in the spans that can hold them; its starts are tried
+    within as many places.
     """
-    plain, places = folded(text)
-    needle = folded(quote)[0].strip()
-    edits, end = nearest_end(needle, plain) if needle else (0, 0)
-    if not end or edits > (100 - LEAST_SCORE) / 50 * len(needle):
+    plain, needle = re.sub(r"\s+", " ", text), " ".join(quote.split())
+    most = int((100 - LEAST_SCORE) / 50 * len(needle))
+    found = [(edits, s + end) for s, e in (within_reach(needle, plain, most) if needle and plain else []) for edits, end in [nearest_end(needle, plain[s:e])] if end]
+    edits, end = min(found, default=(0, 0))
+    if not end or edits > most:
         return 0.0, -1, -1
+    places = folded(text)[1]
     first = range(max(0, end - len(needle) - edits), min(end - 1, end - len(needle) + edits) + 1)
     score, start = max(((indel_similarity(needle, plain[s:end]), s) for s in first), default=(0.0, -1))
     return (score, places[start], places[end - 1] + 1) if score >= LEAST_SCORE else (0.0, -1, -1)

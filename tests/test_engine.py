@@ -279,6 +279,26 @@ def test_unlocated_claims_are_sought_in_the_whole_text(spark, monkeypatch):
     assert [tuple(r) for r in core.aligned_claims(spark, "").collect()] == [("fuzzy", 1)]
 
 
+def test_only_spans_that_can_hold_a_quote_are_searched(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9)))
+    text = " \n ".join(" ".join(word() for _ in range(60)) + " é🚢" for _ in range(8))
+    plain, searched, whole = align.folded(text)[0], [], align.nearest_end
+    monkeypatch.setattr(align, "nearest_end", lambda needle, t: searched.append(len(t)) or whole(needle, t))
+    for _ in range(20):
+        assert align.most_similar(" ".join(word() for _ in range(9)), text) == (0.0, -1, -1)
+    assert sum(searched) < 2 * len(plain)  # before, 20 times the text
+    for size in (1, 2, 3, 5, 20, 60, 90):
+        for at in (0, 7, len(plain) // 2, len(plain) - size):
+            x = list(plain[at : at + size])
+            for _ in range(size // 8):
+                x[rng.randrange(len(x))] = rng.choice(["", "q", "bb"])
+            needle = "".join(x).strip()
+            edits, end = whole(needle, plain) if needle else (0, 0)
+            spans = align.within_reach(needle, plain, edits) if needle else []
+            assert not end or min((e, s + n) for s, t in spans for e, n in [whole(needle, plain[s:t])] if n) == (edits, end)
+
+
 def test_extraction_from_cached_answers(spark):
     value = {"kind": "quantity", "raw": "622", "unit": None, "scale": None}
     one = {"passage_id": 0, "claim_text": "Payables were 622", "subject_surface": "Acme", "subject_key": None, "subject_type": None, "predicate": "consolidated_payables", "value": value, "qualifiers": [{"key": "Period", "value": "FY24", "provenance": "stated"}], "quote": "payables 622 INR crores", "confidence": 0.9}
