@@ -149,6 +149,26 @@ def test_neighbours_in_blocks_against_brute_force(spark):
     assert blocking.semantic_pairs(df.limit(0)).count() == 0 and blocking.neighbours(v.limit(0), v.limit(0), "fact_id", "embedding").count() == 0
 
 
+def test_nearest_computes_few_similarities_in_full(monkeypatch):
+    import numpy as np
+
+    rng, whole, full = np.random.default_rng(5), blocking._every, []
+    monkeypatch.setattr(blocking, "_every", lambda unit, own, asked, first, end, k, least: full.append(end - first) or whole(unit, own, asked, first, end, k, least))
+
+    def brute(x, asked, k, least):
+        sim = np.round(asked @ x.T, 9)
+        return [[j for j in np.lexsort((np.arange(len(x)), -row)) if j != i and row[j] >= least][:k] for i, row in enumerate(sim)]
+
+    for size, copies, least in ((6000, 0, 0.0), (6000, 5, 0.3), (40, 0, -1.0), (6000, 3000, 0.0)):
+        x = rng.normal(size=(size, 12))
+        x[:copies] = x[-1]
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        full.clear()
+        got = [list(near) for _, near, _ in blocking.nearest([f"{i:05d}" for i in range(size)], x, [f"{i:05d}" for i in range(30)], x[:30], 4, least)]
+        assert got == brute(x, x[:30], 4, least)
+        assert sum(full) == (30 if copies > 2000 else 0)  # before, all of them
+
+
 def test_documents_become_relations(spark):
     from factweave.operators import pipeline
 
